@@ -7,8 +7,9 @@ shares of the capacity. If none fits, the one with the largest product is cut so
 
 from __future__ import annotations
 
+import re
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -116,26 +117,77 @@ class Packer:
             self._fill()
 
 
-def tokenizer(path: str) -> Callable[[bytes], bytes]:
-    """Text as UTF-8 -> ids as bytes. The tokenizer splits at white space, so each word is encoded once and kept, up to a bound."""
-    from tokenizers import Tokenizer
-
-    model = Tokenizer.from_file(path)
-    model.encode_special_tokens = True
-    known: dict[bytes, bytes] = {}
-
-    def encode(text: bytes) -> bytes:
-        words = text.split()
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        if new:
-            if len(known) > 400_000:
-                known.clear()
-                new = list(dict.fromkeys(words))
-            for w, e in zip(new, model.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        return b"".join([known[w] for w in words])
-
-    return encode
+#: The letters for which splitting below and the tokenizer's own agree; words with any other character are encoded as they are.
+LETTERS = "a-zß-öø-ÿœšž"
+PLAIN = re.compile(rf"[{LETTERS}!-@\[-`{{-~¡¿«»]+")
+PARTS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^{LETTERS}0-9]+")
+RUN = re.compile(rf"[{LETTERS}]+")
+
+
+class Encoder:
+    """Encodes texts as the tokenizer does, but each word once.
+
+    The tokenizer drops white space, never joins what it separates, and splits the rest into runs of letters, digits and runs of
+    others; ids depend on the run alone. So the ids of words and of runs are kept, up to a bound. New runs of letters
+    are encoded in one text; the last id of each marks a word's end, which tells them apart."""
+
+    def __init__(self, path: str, most: int = 500_000):
+        from tokenizers import Tokenizer
+
+        self.model = Tokenizer.from_file(path)
+        self.model.encode_special_tokens = True
+        vocabulary = self.model.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[k for x, k in vocabulary.items() if x.endswith("</w>")]] = True
+        self.words: dict[bytes, bytes] = {}
+        self.runs: dict[str, bytes] = {}
+        self.most = most
+
+    def one_by_one(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn_runs(self, runs: set[str]) -> None:
+        letters = [x for x in runs if RUN.fullmatch(x)]
+        for k in range(0, len(letters), 20_000):
+            part = letters[k : k + 20_000]
+            ids = np.array(self.model.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            cut = np.flatnonzero(self.ends[ids]) + 1
+            if len(cut) == len(part) and cut[-1] == len(ids):
+                flat, at = ids.tobytes(), 0
+                for x, end in zip(part, (4 * cut).tolist(), strict=True):
+                    self.runs[x] = flat[at:end]
+                    at = end
+            else:
+                self.runs |= dict(zip(part, self.one_by_one(part), strict=True))
+        others = [x for x in runs if x not in self.runs]
+        self.runs |= dict(zip(others, self.one_by_one(others), strict=True))
+
+    def _learn(self, words: set[bytes]) -> None:
+        if len(self.words) > self.most:
+            self.words.clear()
+        if len(self.runs) > self.most:
+            self.runs.clear()
+        plain, rest = {}, []
+        for w in words:
+            x = w.decode()
+            if PLAIN.fullmatch(low := x if x.isascii() else x.lower()):
+                plain[w] = PARTS.findall(low)
+            else:
+                rest.append(w)
+        self._learn_runs({r for parts in plain.values() for r in parts}.difference(self.runs))
+        runs, join = self.runs, b"".join
+        self.words |= {w: runs[p[0]] if len(p) == 1 else join([runs[r] for r in p]) for w, p in plain.items()}
+        self.words |= dict(zip(rest, self.one_by_one([w.decode() for w in rest]), strict=True))
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        split = [x.lower().split() for x in texts]  # bytes: A-Z and ASCII white space
+        words = set().union(*split)
+        if new := words.difference(self.words):
+            self._learn(new)
+            if missing := words.difference(self.words):  # dropped just before
+                self._learn(missing)
+        known, join = self.words, b"".join
+        return [join([known[w] for w in x]) for x in split]
 
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -152,7 +204,7 @@ def pack(docs: DataFrame, path: str, capacity: Capacity | None = None, id_col: s
     capacity = capacity or Capacity()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = tokenizer(path), np.array([END_ID], "<u4").tobytes()
+        encoder, end = Encoder(path), np.array([END_ID], "<u4").tobytes()
         packer = Packer(capacity, TaskContext.get().partitionId() << 40)
 
         def rows() -> Iterator[pa.RecordBatch]:
@@ -162,10 +214,9 @@ def pack(docs: DataFrame, path: str, capacity: Capacity | None = None, id_col: s
                 yield record_batch({n: (pa.int64(), columns[i]) for i, n in enumerate(x.split()[0] for x in SCHEMA.split(", "))})
 
         for batch in slices(batches, 1):
-            prompts = binary(batch.column(2)) if prompt_col else [None] * batch.num_rows
-            for key, text, prompt in zip(batch.column(0).to_pylist(), binary(batch.column(1)), prompts, strict=True):
-                head = encode(prompt) if prompt else b""
-                ids = head + encode(text) + end
+            prompts = encoder.encode(binary(batch.column(2))) if prompt_col else [b""] * batch.num_rows
+            for key, text, head in zip(batch.column(0).to_pylist(), encoder.encode(binary(batch.column(1))), prompts, strict=True):
+                ids = head + text + end
                 loss = bytes(len(head) // 4) + b"\1" * ((len(ids) - len(head)) // 4) if head else None
                 packer.add(Example((key,), ids, 0, len(ids) // 4, loss))
             yield from rows()
