@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evigraph.llm import mixing, packing, repetition, simhash
+from evigraph.llm import langid, mixing, packing, pii, quality, repetition, simhash, sketches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_langid": langid.query,
     "op2_simhash": simhash.query,
     "op5_mix": mixing.query,
     "op6_pack": packing.query,
+    "op7_quality": quality.query,
+    "op8_pii": pii.query,
+    "op9_sketch": sketches.query,
     "op10_repetition": repetition.query,
 }
 
