@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evigraph.llm import langid, mixing, packing, pii, quality, repetition, simhash, sketches
+from evigraph.llm import hmm, langid, mixing, packing, pii, quality, repetition, simhash, sketches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_langid": langid.query,
     "op2_simhash": simhash.query,
+    "op3_hmm": hmm.query,
     "op5_mix": mixing.query,
     "op6_pack": packing.query,
     "op7_quality": quality.query,
