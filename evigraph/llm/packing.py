@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -119,11 +120,36 @@ class Packer:
 
 #: The letters for which splitting below and the tokenizer's own agree; words with any other character are encoded as they are.
 LETTERS = "a-zß-öø-ÿœšž"
-PLAIN = re.compile(rf"[{LETTERS}!-@\[-`{{-~¡¿«»]+")
-PARTS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^{LETTERS}0-9]+")
+PLAIN = re.compile(rf"[{LETTERS}\x00-\x08\x0E-\x1F!-@\[-`{{-\x7F¡¿«»]+")
+PARTS = re.compile(rf"\n|'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^{LETTERS}0-9\n]+")
 RUN = re.compile(rf"[{LETTERS}]+")
 
 
+class Ids:
+    """Ids of many words: those of word k stand from start[k] on."""
+
+    def __init__(self) -> None:
+        self.flat, self.used = np.zeros(1 << 16, "<u4"), 0
+        self.start, self.length, self.n = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
+
+    def add(self, flat: np.ndarray, lengths: np.ndarray) -> None:
+        while self.used + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while self.n + len(lengths) > len(self.start):
+            self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.length[self.n : self.n + len(lengths)] = lengths
+        self.start[self.n : self.n + len(lengths)] = self.used + np.cumsum(lengths) - lengths
+        self.used += len(flat)
+        self.n += len(lengths)
+
+    def of(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of these words, one after the other, and how many each has."""
+        lengths = self.length[words]
+        ends = np.cumsum(lengths)
+        return self.flat[np.repeat(self.start[words] - ends + lengths, lengths) + np.arange(int(lengths.sum()))], lengths
+
+
 class Encoder:
     """Encodes texts as the tokenizer does, but each word once.
 
@@ -131,7 +157,7 @@ class Encoder:
     others; ids depend on the run alone. So the ids of words and of runs are kept, up to a bound. New runs of letters
     are encoded in one text; the last id of each marks a word's end, which tells them apart."""
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 700_000):
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
@@ -139,55 +165,60 @@ class Encoder:
         vocabulary = self.model.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[k for x, k in vocabulary.items() if x.endswith("</w>")]] = True
-        self.words: dict[bytes, bytes] = {}
-        self.runs: dict[str, bytes] = {}
         self.most = most
+        self.words, self.word_ids = {}, Ids()
+        self.runs, self.run_ids = {}, Ids()
 
-    def one_by_one(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+    def _one_by_one(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [e.ids for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.array([k for x in ids for k in x], "<u4"), np.array([len(x) for x in ids], np.int64)
 
-    def _learn_runs(self, runs: set[str]) -> None:
+    def _learn_runs(self, runs: list[str]) -> None:
         letters = [x for x in runs if RUN.fullmatch(x)]
+        others = [x for x in runs if not RUN.fullmatch(x)]
         for k in range(0, len(letters), 20_000):
             part = letters[k : k + 20_000]
-            ids = np.array(self.model.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.model.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
             cut = np.flatnonzero(self.ends[ids]) + 1
             if len(cut) == len(part) and cut[-1] == len(ids):
-                flat, at = ids.tobytes(), 0
-                for x, end in zip(part, (4 * cut).tolist(), strict=True):
-                    self.runs[x] = flat[at:end]
-                    at = end
+                self.runs.update(zip(part, range(self.run_ids.n, self.run_ids.n + len(part)), strict=True))
+                self.run_ids.add(ids, np.diff(cut, prepend=0))
             else:
-                self.runs |= dict(zip(part, self.one_by_one(part), strict=True))
-        others = [x for x in runs if x not in self.runs]
-        self.runs |= dict(zip(others, self.one_by_one(others), strict=True))
+                others += part
+        self.runs.update(zip(others, range(self.run_ids.n, self.run_ids.n + len(others)), strict=True))
+        self.run_ids.add(*self._one_by_one(others))
+
+    def _learn(self, words: list[str]) -> None:
+        lower = [x if x.isascii() else x.lower() for x in words]
+        plain, rest = [], []
+        for k, x in enumerate(lower):
+            (plain if x.isascii() or PLAIN.fullmatch(x) else rest).append(k)
+        parts = PARTS.findall("\n".join([lower[k] for k in plain]))
+        self._learn_runs([x for x in dict.fromkeys(parts) if x not in self.runs and x != "\n"])
+        get = self.runs.get
+        at = np.array([get(x, -1) for x in parts], np.int64)
+        ids, lengths = self.run_ids.of(at[at >= 0])
+        word = np.cumsum(at < 0)[at >= 0]
+        order = [words[k] for k in [*plain, *rest]]
+        self.words.update(zip(order, range(self.word_ids.n, self.word_ids.n + len(order)), strict=True))
+        self.word_ids.add(ids, np.bincount(word, lengths, len(plain)).astype(np.int64))
+        self.word_ids.add(*self._one_by_one([words[k] for k in rest]))
 
-    def _learn(self, words: set[bytes]) -> None:
+    def encode(self, texts: list[bytes]) -> list[bytes]:
         if len(self.words) > self.most:
-            self.words.clear()
+            self.words, self.word_ids = {}, Ids()
         if len(self.runs) > self.most:
-            self.runs.clear()
-        plain, rest = {}, []
-        for w in words:
-            x = w.decode()
-            if PLAIN.fullmatch(low := x if x.isascii() else x.lower()):
-                plain[w] = PARTS.findall(low)
-            else:
-                rest.append(w)
-        self._learn_runs({r for parts in plain.values() for r in parts}.difference(self.runs))
-        runs, join = self.runs, b"".join
-        self.words |= {w: runs[p[0]] if len(p) == 1 else join([runs[r] for r in p]) for w, p in plain.items()}
-        self.words |= dict(zip(rest, self.one_by_one([w.decode() for w in rest]), strict=True))
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        split = [x.lower().split() for x in texts]  # bytes: A-Z and ASCII white space
-        words = set().union(*split)
-        if new := words.difference(self.words):
+            self.runs, self.run_ids = {}, Ids()
+        split = pc.ascii_split_whitespace(pc.ascii_lower(pa.array(texts, pa.binary()).cast(pa.string())))
+        found = split.flatten().dictionary_encode()
+        words = found.dictionary.to_pylist()
+        if new := [w for w in words if w not in self.words]:
             self._learn(new)
-            if missing := words.difference(self.words):  # dropped just before
-                self._learn(missing)
-        known, join = self.words, b"".join
-        return [join([known[w] for w in x]) for x in split]
+        slots = np.array([self.words[w] for w in words], np.int64)
+        ids, lengths = self.word_ids.of(slots[found.indices.to_numpy()])
+        edge = np.concatenate([[0], np.cumsum(lengths)])[split.offsets.to_numpy() - split.offsets[0].as_py()] * 4
+        flat = ids.tobytes()
+        return [flat[a:b] for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
 
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -213,7 +244,7 @@ def pack(docs: DataFrame, path: str, capacity: Capacity | None = None, id_col: s
                 columns = list(zip(*done, strict=True))
                 yield record_batch({n: (pa.int64(), columns[i]) for i, n in enumerate(x.split()[0] for x in SCHEMA.split(", "))})
 
-        for batch in slices(batches, 1):
+        for batch in slices(batches, 1, most_bytes=8 << 20):
             prompts = encoder.encode(binary(batch.column(2))) if prompt_col else [b""] * batch.num_rows
             for key, text, head in zip(batch.column(0).to_pylist(), encoder.encode(binary(batch.column(1))), prompts, strict=True):
                 ids = head + text + end
