@@ -17,7 +17,9 @@ SHINGLE = 5
 #: One hash of so many is kept.
 SCALE = 4
 #: Followers are looked up within blocks of ascending ids: this many quantile ranges, each cut evenly into blocks of about so many rows.
-RANGES, ROWS = 64, 20_000
+RANGES, ROWS = 256, 20_000
+#: Up to so many blocks, the table of their first ids (two longs each) is sent to all tasks; beyond, it is joined by a shuffle.
+SENT = 1_000_000
 SPACES = r"[\x20\x09-\x0D]+"
 
 
@@ -66,18 +68,18 @@ def hexed(a: Column) -> Column:
     return F.array_join(F.transform(a, lambda x: F.lower(F.lpad(F.hex(x), 16, "0"))), "")
 
 
-def blocks(rows: DataFrame, by: str) -> Column:
-    """A number that doesn't fall as `by` grows; null comes first. Its number of values grows with the rows."""
+def blocks(rows: DataFrame, by: str) -> tuple[Column, int]:
+    """A number that doesn't fall as `by` grows; null comes first. And how many values it has at most, which grows with the rows."""
     low, high, n = rows.agg(F.min(by), F.max(by), F.count(by)).first()
     if not n or low == high:
-        return F.when(F.col(by).isNull(), F.lit(-1)).otherwise(F.lit(0)).cast("long")
+        return F.when(F.col(by).isNull(), F.lit(-1)).otherwise(F.lit(0)).cast("long"), 2
     inner = rows.stat.approxQuantile(by, [k / RANGES for k in range(1, RANGES)], 0.25 / RANGES)
     edges = sorted({low, *(int(x) for x in inner if low < int(x) <= high), high + 1 if high < (1 << 63) - 1 else high})
     parts = max(1, -(-n // ((len(edges) - 1) * ROWS)))
     at = F.greatest(F.lit(1), F.size(F.filter(F.array(*[F.lit(e).cast("long") for e in edges[:-1]]), lambda e: e <= F.col(by))))
     start, width = (F.element_at(F.array(*[F.lit(float(v)) for v in values]), at) for values in (edges[:-1], [b - a for a, b in zip(edges, edges[1:], strict=False)]))
     within = F.least(F.lit(parts - 1), F.greatest(F.lit(0), F.floor((F.col(by) - start) * parts / width)))
-    return F.when(F.col(by).isNull(), F.lit(-1)).otherwise(at * parts + within).cast("long")
+    return F.when(F.col(by).isNull(), F.lit(-1)).otherwise(at * parts + within).cast("long"), len(edges) * parts + 1
 
 
 def followers(rows: DataFrame, by: str, text: str, more: dict[str, Column]) -> DataFrame:
@@ -86,12 +88,14 @@ def followers(rows: DataFrame, by: str, text: str, more: dict[str, Column]) -> D
     A window within each block finds the follower. The last row of a block is followed by the first of the next block
     that has rows; only those firsts are looked up once more. Rows with equal `by` go in the order of their texts, which
     mustn't be null."""
-    dealt = rows.withColumn("__block", blocks(rows, by))
+    block, most = blocks(rows, by)
+    dealt = rows.withColumn("__block", block)
     order = W.partitionBy("__block").orderBy(F.col(by).asc_nulls_first(), text)
     carried = [text, *more]
     found = dealt.withColumns(more).withColumns({f"next_{c}": F.lead(c).over(order) for c in carried})
     around = W.orderBy("__block")
     starts = dealt.groupBy("__block").agg(F.min(by).alias("__id")).select(F.coalesce(F.lag("__block").over(around), F.max("__block").over(W.partitionBy())).alias("__to"), F.col("__id"))
+    starts = F.broadcast(starts) if most <= SENT else starts
     first = rows.join(starts, rows[by].eqNullSafe(starts["__id"])).groupBy("__to").agg(F.min(text).alias(text)).withColumns(more)
     first = first.select("__to", *[F.col(c).alias(f"__{c}") for c in carried])
     joined = found.join(first, found["__block"] == first["__to"], "left")
