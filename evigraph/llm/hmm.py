@@ -263,11 +263,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", state
         for infos, group in grouped(sequences()):
             likelihood, _, _ = Batch(group).forward(model)
             for k in range(0, len(infos), 2000):
-                part, logs = infos[k : k + 2000], likelihood[k : k + 2000]
+                part, whole = infos[k : k + 2000], likelihood[k : k + 2000]
                 c = list(zip(*part, strict=True))
                 yield record_batch({
                     "row": (pa.int64(), c[0]), "doc_id": (pa.int64(), c[1]), "held_out": (pa.bool_(), c[2]), "n_tokens": (pa.int64(), c[3]), "n_known": (pa.int64(), c[4]), "base": (pa.float64(), c[5]),
-                    "model": (pa.float64(), np.array(c[6]) + logs - np.array(c[7]) * np.log10(other_tokens + other_words + 1)),
+                    "model": (pa.float64(), np.array(c[6]) + whole - np.array(c[7]) * np.log10(other_tokens + other_words + 1)),
                     "words": (pa.list_(pa.binary()), [list(x) for x in c[8]]), "times": (pa.list_(pa.int64()), [list(x.values()) for x in c[8]]),
                 })
 
