@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from evigraph.llm.common import record_batch, shared_dir, table
+from evigraph.llm.common import cut, record_batch, shared_dir, table
 
 CRLF = "\r\n"
 #: Fixed values of the format.
@@ -162,7 +162,8 @@ def captures(found: DataFrame, hops: int = 2) -> DataFrame:
     A record belongs to the main record that it names in WARC-Concurrent-To, or that names it, or that it reaches over
     up to `hops` such links; of several the one with the smallest id. Of several requests of a capture the one with the
     smallest id is kept; metadata is an array by record id. Records that reach no main record give a row each with
-    a null main. Repeated record ids count once. No records: no rows."""
+    a null main. Repeated record ids count once. No records: no rows. `found` is read several times: hand in rows that
+    are written or checkpointed."""
     found = found.filter("record_id is not null")
     thin = found.select("record_id", "warc_type", "concurrent_to")
     named = thin.select(F.col("record_id").alias("a"), F.explode("concurrent_to").alias("b"))
@@ -205,7 +206,7 @@ def digests(found: DataFrame) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/archives-{uuid.uuid4()}"
     write(table(spark, sf_dir, "pages"), path)
-    return digests(read(spark, path, payloads=False))
+    return digests(cut(read(spark, path, payloads=False)))  # the archives are parsed once
 
 
 SQL = """
