@@ -37,9 +37,10 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent: int =
         .withColumn("total", F.sum(F.col("source_size").cast("double")).over(W.partitionBy()) * (percent / 100))
         .withColumn("level", (F.col("total") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(onward))
     )
-    free = F.min(F.when(F.col("ratio") > F.col("level"), F.struct("ratio", "level"))).over(W.partitionBy())
+    # the first source that isn't capped sets the level; among equal ratios it has the highest
+    free = F.min(F.when(F.col("ratio") > F.col("level"), F.struct("ratio", (-F.col("level")).alias("down")))).over(W.partitionBy())
     return rows.withColumn("free", free).select(
-        "source", "source_size", F.when(F.col("free").isNull() | (F.col("ratio") < F.col("free.ratio")), F.col("cap")).otherwise(F.least("cap", F.col("free.level") * F.col("weight"))).alias("target")
+        "source", "source_size", F.when(F.col("free").isNull() | (F.col("ratio") < F.col("free.ratio")), F.col("cap")).otherwise(F.least("cap", -F.col("free.down") * F.col("weight"))).alias("target")
     )
 
 
@@ -105,7 +106,7 @@ with d as (
   select *, (total - coalesce(sum(cap) over (order by ratio, source nulls last rows between unbounded preceding and 1 preceding), 0))
     / sum(weight) over (order by ratio, source nulls last rows between current row and unbounded following) as level from q
 ), f as (
-  select min(ratio) as ratio, arg_min(level, ratio) as level from v where ratio > level
+  select ratio, level from v where ratio > level order by ratio, level desc limit 1
 ), t as (
   select source, source_size, case when f.ratio is null or v.ratio < f.ratio then cap else least(cap, f.level * weight) end as target,
     ('0x' || substr(md5('mix:' || coalesce(source, '')), 1, 5))::bigint / 1048576.0::double as off from v left join f on true
