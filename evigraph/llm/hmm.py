@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evigraph.llm.common import binary, cut, record_batch, row_hash, slices, table
@@ -164,6 +164,26 @@ def count_words(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def frequency_class(n: Column) -> Column:
+    """An integer that doesn't fall as the count grows, with few values: the count itself, then 512 steps for each doubling."""
+    return F.when(n < 4096, n).otherwise(4096 + F.floor(F.log2(n) * 512)).cast("long")
+
+
+def frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
+    """At most so many words of counts (word, n), by count, then bytes: all those from some frequency class on, so no task or message holds more."""
+    classes = counts.groupBy(frequency_class(F.col("n")).alias("c")).agg(F.count("*").alias("words")).orderBy(F.desc("c")).collect()
+    total, least = 0, None
+    for r in classes:
+        total += r["words"]
+        if total > most:
+            break
+        least = r["c"]
+    if least is None:
+        return []
+    found = counts.filter(frequency_class(F.col("n")) >= least).select("word", "n").toArrow()
+    return sorted(zip(found.column("word").to_pylist(), found.column("n").to_pylist(), strict=True), key=lambda r: (-r[1], r[0]))
+
+
 def train(texts: DataFrame, words: Words, states: int = STATES, rounds: int = ROUNDS, start: DataFrame | None = None) -> Model:
     """Baum-Welch over all texts; start: a few of them, in one partition, for the starting point."""
     unigram = words.unigram()
@@ -232,8 +252,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", state
     training = rows.filter(~F.col("held_out"))
     counts = cut(count_words(training.select("text")))
     sums = counts.agg(F.sum("n").alias("n"), F.count(F.when(F.col("n") > 0, 1)).alias("v"), F.sum(F.when(F.col("word") == END, F.col("n"))).alias("ends")).first()
-    top = counts.filter((F.col("word") != END) & (F.col("n") > 0)).orderBy(F.desc("n"), "word").limit(head).collect()
-    words = Words(sums["n"] or 0, sums["v"] or 0, sums["ends"] or 0, [bytes(r["word"]) for r in top], [r["n"] for r in top], symbols)
+    top = frequent(counts.filter((F.col("word") != END) & (F.col("n") > 0)), head)
+    words = Words(sums["n"] or 0, sums["v"] or 0, sums["ends"] or 0, [w for w, _ in top], [n for _, n in top], symbols)
     share = min(1.0, START_TEXTS / max(1, words.ends))
     drawn = training.withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))).filter(F.col("h") < share * (1 << 30))
     start = drawn.repartition(1).sortWithinPartitions("h", "doc_id", "text").select("text")
