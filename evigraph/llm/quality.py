@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from evigraph.llm.common import binary, record_batch, row_hash, slices, table
 
-#: The most labelled rows that a model is fitted on; those with the smallest hashes of their ids.
+#: The most labelled rows that a model is fitted on: those whose ids have small hashes.
 SAMPLE = 20_000
 THRESHOLD = 0.7
 FEATURES = (
@@ -157,11 +157,12 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 120, rate: float = 0.1, bins
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Model:
-    """Fits on at most `sample` labelled rows whose crc32(id) mod 4 is not 2; only their features reach the driver.
+    """Fits on at most, and about, `sample` labelled rows whose crc32(id) mod 4 is not 2; only their features reach the driver.
 
     Null labels and ids don't count; of labels that disagree about an id the smallest holds; of rows with one id one counts."""
     chosen = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & (row_hash(id_col) % 4 != 2)).groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.min(label_col).cast("double").alias("y"))
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    share = int((1 << 30) * min(1.0, sample / max(1, chosen.count())))
+    chosen = chosen.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
