@@ -56,8 +56,9 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", pay
     rows = rows.withColumns({"digest": F.sha1(F.encode("payload", "utf-8")), "bytes": F.octet_length("payload")})
     best = rows.filter(F.col("bytes") >= least).groupBy("digest", "bytes").agg(F.max(F.struct("id", "url")).alias("best"), F.count("*").alias("n")).filter("n > 1")
     best = best.select("digest", "bytes", "best", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    rows = rows.withColumn("number", F.row_number().over(W.partitionBy("id", "digest", "url").orderBy("bytes"))).withColumn("salt", F.pmod(F.hash("id", "url", "number"), F.lit(SALTS)))
-    rows = rows.join(best, ["digest", "bytes", "salt"], "left")
+    # the payloads move once: repeated rows share a salt, so the window finds them together after the join
+    rows = rows.withColumn("salt", F.pmod(F.hash("id", "url"), F.lit(SALTS))).join(best, ["digest", "bytes", "salt"], "left")
+    rows = rows.withColumn("number", F.row_number().over(W.partitionBy("digest", "bytes", "salt", "id", "url").orderBy("bytes")))
     first = F.col("best").isNull() | (F.col("best.id").eqNullSafe(F.col("id")) & F.col("best.url").eqNullSafe(F.col("url")) & (F.col("number") == 1))
     key = [F.col("id"), F.col("digest"), F.col("url"), F.col("number")]
     main, target = urn("main", *key), F.regexp_replace("url", r"[\x00-\x20\x7F]", "%20")
