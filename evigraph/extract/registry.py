@@ -6,7 +6,7 @@ import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from evigraph.extract import config, generic, java, web
@@ -73,12 +73,13 @@ FACT = "file string, fact string, node_id string, kind string, name string, qual
 
 def facts(files: DataFrame, plugins: tuple[Plugin, ...] = (WEB,)) -> DataFrame:
     """files (path, content) -> a row for each node, edge, warning and error. A file that fails gives an error row and no other; null content counts as empty."""
-    columns = [c.split()[0] for c in FACT.split(", ")]
+    types = {"string": pa.string(), "int": pa.int32(), "double": pa.float64()}
+    schema = pa.schema([(n, types[t]) for n, t in (c.split() for c in FACT.split(", "))])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[dict] = []
-            for path, content in zip(batch["path"], batch["content"], strict=True):
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 try:
                     f = extract(path, content or "", plugins)
                     rows += [{"file": path, "fact": "node"} | n for n in f.nodes.values()]
@@ -86,12 +87,9 @@ def facts(files: DataFrame, plugins: tuple[Plugin, ...] = (WEB,)) -> DataFrame:
                     rows += [{"file": path, "fact": "warning", "metadata": w} for w in f.warnings]
                 except Exception as e:
                     rows.append({"file": path, "fact": "error", "metadata": f"{type(e).__name__}: {e}"})
-            out = pd.DataFrame(rows, columns=columns)
-            out[["start_line", "end_line"]] = out[["start_line", "end_line"]].astype("Int32")
-            out["confidence"] = out["confidence"].astype("Float64")
-            yield out
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return files.select("path", "content").mapInPandas(run, FACT)
+    return files.select("path", "content").mapInArrow(run, FACT)
 
 
 def nodes(found: DataFrame) -> DataFrame:

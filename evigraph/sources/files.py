@@ -11,6 +11,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from evigraph.functions.identity import content_hash
 from evigraph.functions.text import LANGUAGES, language_of, redact_secrets, secret_kinds
@@ -73,7 +74,7 @@ class Ignore:
     def udf(self):
         rules = self
 
-        @F.pandas_udf("boolean")
+        @F.pandas_udf(T.BooleanType())
         def ignored(paths: pd.Series) -> pd.Series:
             compiled = rules.compiled()
 
@@ -89,7 +90,7 @@ class Ignore:
         return ignored
 
 
-@F.pandas_udf("text string, replaced boolean")
+@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("replaced", T.BooleanType())]))
 def decoded(content: pd.Series) -> pd.DataFrame:
     """UTF-8 text; bytes that aren't are replaced, which is told."""
     rows = []
@@ -102,7 +103,7 @@ def decoded(content: pd.Series) -> pd.DataFrame:
 
 
 def listing(spark: SparkSession, root: str, extensions: Iterable[str] = tuple(LANGUAGES), most_bytes: int = MOST_BYTES, ignore: Iterable[str] = (), changed: Iterable[str] | None = None) -> DataFrame:
-    """(path, size_bytes, modified_at, content): files below root with a known suffix, not too large, not ignored; `changed` restricts it to some paths."""
+    """(path, size_bytes, modified_at, content): files below root with a known suffix, not too large, not ignored; `changed` restricts it to some paths. Spark lists no file without bytes."""
     base = root.rstrip("/")
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
     relative = F.regexp_replace("path", r"^(?:file:)?/*" + re.escape(base.lstrip("/")).replace("\\-", "-") + "/+", "")
