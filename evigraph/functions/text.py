@@ -34,8 +34,9 @@ def fold(x: Column) -> Column:
 
 
 def index_tokens(x: Column) -> Column:
-    """Runs of letters and digits, folded: what the full-text index holds."""
-    return F.regexp_extract_all(fold(x), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
+    """Runs of letters and digits, folded: what the full-text index holds. Only words beyond ASCII are looked up letter by letter."""
+    words = F.regexp_extract_all(F.lower(x), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
+    return F.transform(words, lambda w: F.when(F.octet_length(w) == F.length(w), w).otherwise(F.translate(w, MARKED, PLAIN)))
 
 
 def query_tokens(x: Column, most: int = 20) -> Column:

@@ -77,14 +77,40 @@ def top(scored: DataFrame, limit: int = 20, digits: int = 6) -> DataFrame:
     return ranked.withColumn("lexical", F.round(lexical(F.col("rank"), bm25_norm(F.col("score"))), digits))
 
 
+def matched(docs: DataFrame, key: str, columns: list[str], wanted: list, prefix: bool) -> DataFrame:
+    """(doc, dl, hits): a row for each document, with those of its words, in (col, pos, tok), that a query asks for."""
+    exact = sorted({r["tok"] for r in wanted})
+    begins = sorted({r["tok"] for r in wanted if r["k"] == r["size"] - 1}) if prefix else []
+
+    def asked(t: Column) -> Column:
+        out = t.isin(exact)
+        for p in begins:
+            out = out | F.startswith(t, F.lit(p))
+        return out
+
+    toks = {c: index_tokens(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in columns}
+    whole = docs.select(F.col(key).alias("doc"), *[t.alias(f"t{k}") for k, t in enumerate(toks.values())])
+
+    def found(k: int, c: str) -> Column:
+        each = F.transform(f"t{k}", lambda t, i: F.when(asked(t), F.struct(F.lit(c).alias("col"), i.alias("pos"), t.alias("tok"))))
+        return F.filter(each, lambda h: h.isNotNull())
+
+    hits = [found(k, c) for k, c in enumerate(columns)]
+    total = F.size("t0")
+    for k in range(1, len(columns)):
+        total = total + F.size(f"t{k}")
+    return whole.select("doc", total.alias("dl"), F.concat(*hits).alias("hits"))
+
+
 def search(docs: DataFrame, key: str, weights: dict[str, float], queries: DataFrame, limit: int = 20, prefix: bool = False) -> DataFrame:
-    """The whole retrieval without a stored index: the query's words filter the postings as they are made."""
-    columns = list(weights)
-    posted = postings(docs, key, columns)
+    """The whole retrieval without a stored index. Texts are split once: what the queries ask for, and the lengths, are kept."""
     wanted = phrases(queries)
+    few = wanted.select("tok", "k", "size").collect()  # at most 20 tokens a query
+    kept = matched(docs, key, list(weights), few, prefix).persist()
+    posted = kept.select("doc", F.explode("hits").alias("h")).select("doc", "h.col", "h.pos", "h.tok")
     if prefix:
         wanted = expand_prefixes(wanted, posted)
-    return top(bm25(posted, lengths(docs, key, columns), wanted, weights), limit)
+    return top(bm25(posted, kept.select("doc", "dl"), wanted, weights), limit)
 
 
 def node_score(norm: Column) -> Column:

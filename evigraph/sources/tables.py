@@ -9,8 +9,21 @@ from pyspark.sql import functions as F
 CONFIDENCE = {"CONTAINS": 1.0, "CALLS": 0.72, "DEPENDS_ON": 0.9, "IMPLEMENTS": 0.96}
 
 
+#: Tables whose rows are long texts; up to so many bytes for each core they are small.
+TEXTS, SMALL = ("documents", "pages", "conversations"), 32 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name in TEXTS else rows
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows of a small table in fewer files than there are cores, dealt over the cores: a small file is one row group, which one task would read. Other tables stay as they are read."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    if len(rows.inputFiles()) >= cores or int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > cores * SMALL:
+        return rows
+    return rows.repartition(cores)
 
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
