@@ -122,7 +122,6 @@ class Packer:
 LETTERS = "a-zß-öø-ÿœšž"
 PLAIN = re.compile(rf"[{LETTERS}\x00-\x08\x0E-\x1F!-@\[-`{{-\x7F¡¿«»]+")
 PARTS = re.compile(rf"\n|'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^{LETTERS}0-9\n]+")
-RUN = re.compile(rf"[{LETTERS}]+")
 
 
 class Ids:
@@ -174,8 +173,8 @@ class Encoder:
         return np.array([k for x in ids for k in x], "<u4"), np.array([len(x) for x in ids], np.int64)
 
     def _learn_runs(self, runs: list[str]) -> None:
-        letters = [x for x in runs if RUN.fullmatch(x)]
-        others = [x for x in runs if not RUN.fullmatch(x)]
+        letters = [x for x in runs if x[0].isalpha()]  # the others begin with a digit, a sign or an apostrophe
+        others = [x for x in runs if not x[0].isalpha()]
         for k in range(0, len(letters), 20_000):
             part = letters[k : k + 20_000]
             ids = np.array(self.model.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
@@ -189,20 +188,25 @@ class Encoder:
         self.run_ids.add(*self._one_by_one(others))
 
     def _learn(self, words: list[str]) -> None:
-        lower = [x if x.isascii() else x.lower() for x in words]
-        plain, rest = [], []
-        for k, x in enumerate(lower):
-            (plain if x.isascii() or PLAIN.fullmatch(x) else rest).append(k)
-        parts = PARTS.findall("\n".join([lower[k] for k in plain]))
+        plain = [w for w in words if w.isascii()]
+        lower, rest = plain.copy(), []
+        for w in words:
+            if not w.isascii():
+                x = w.lower()
+                if PLAIN.fullmatch(x):
+                    plain.append(w)
+                    lower.append(x)
+                else:
+                    rest.append(w)
+        parts = PARTS.findall("\n".join(lower))
         self._learn_runs([x for x in dict.fromkeys(parts) if x not in self.runs and x != "\n"])
         get = self.runs.get
         at = np.array([get(x, -1) for x in parts], np.int64)
         ids, lengths = self.run_ids.of(at[at >= 0])
         word = np.cumsum(at < 0)[at >= 0]
-        order = [words[k] for k in [*plain, *rest]]
-        self.words.update(zip(order, range(self.word_ids.n, self.word_ids.n + len(order)), strict=True))
+        self.words.update(zip([*plain, *rest], range(self.word_ids.n, self.word_ids.n + len(words)), strict=True))
         self.word_ids.add(ids, np.bincount(word, lengths, len(plain)).astype(np.int64))
-        self.word_ids.add(*self._one_by_one([words[k] for k in rest]))
+        self.word_ids.add(*self._one_by_one(rest))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         if len(self.words) > self.most:
@@ -212,9 +216,13 @@ class Encoder:
         split = pc.ascii_split_whitespace(pc.ascii_lower(pa.array(texts, pa.binary()).cast(pa.string())))
         found = split.flatten().dictionary_encode()
         words = found.dictionary.to_pylist()
-        if new := [w for w in words if w not in self.words]:
+        get = self.words.get
+        slots = np.array([get(w, -1) for w in words], np.int64)
+        missing = np.flatnonzero(slots < 0)
+        if len(missing):
+            new = [words[k] for k in missing.tolist()]
             self._learn(new)
-        slots = np.array([self.words[w] for w in words], np.int64)
+            slots[missing] = [get(w) for w in new]
         ids, lengths = self.word_ids.of(slots[found.indices.to_numpy()])
         edge = np.concatenate([[0], np.cumsum(lengths)])[split.offsets.to_numpy() - split.offsets[0].as_py()] * 4
         flat = ids.tobytes()
