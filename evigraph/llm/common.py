@@ -9,12 +9,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A word is a run of characters other than space and U+0009 to U+000D.
-WORD = r"[^\x20\x09-\x0D]+"
+from evigraph.sources.tables import table
 
+__all__ = ["WORD", "binary", "cut", "record_batch", "row_hash", "shared_dir", "slices", "strings", "table"]
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+#: A word is a run of characters other than space and U+0009 to U+000D.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
