@@ -59,3 +59,26 @@ def heading_sections(files: DataFrame, heading: str = HEADING) -> DataFrame:
     kept = numbered.filter(~F.col("any") | (F.col("section") > 0))
     out = kept.groupBy("path", "section").agg(F.min("line").alias("start_line"), F.max("line").alias("end_line"), F.max(F.when(F.col("is_heading"), F.col("text"))).alias("heading"))
     return out.select("path", "start_line", "end_line", F.concat(F.array(F.lit("markdown")), F.coalesce(heading_tags(F.col("heading")), F.array().cast("array<string>"))).alias("tags"))
+
+
+def build_chunks(files: DataFrame, symbols: DataFrame, tags: DataFrame, size: int = LINES, overlap: int = OVERLAP) -> DataFrame:
+    """files (path, language, content), symbols (path, symbol_id, kind, name, start_line, end_line), tags (path, tags) -> chunks.
+
+    Markdown is cut at headings, then in windows; other files by symbols, then what they leave. Tags of the file come first."""
+    plain, marked = files.filter("language <> 'markdown'"), files.filter("language = 'markdown'")
+    counts = plain.filter("content <> ''").select("path", F.size(lines_of(F.col("content"))).alias("n"))
+    own = symbol_windows(symbols.join(plain.select("path"), "path", "left_semi"), counts, size, overlap)
+    rest = uncovered_windows(plain, own.select("path", "start_line", "end_line"), size, overlap)
+    sections = heading_sections(marked)
+    windows = sections.select("path", "tags", "end_line", F.explode(window_starts(F.col("start_line"), F.col("end_line"), size, overlap)).alias("start_line"))
+    cut = windows.select("path", "start_line", F.least(F.col("start_line") + size - 1, "end_line").alias("end_line"), F.lit(None).cast("string").alias("symbol_id"), "tags")
+    none = F.array().cast("array<string>")
+    whole = own.union(rest.select("path", "start_line", "end_line", F.lit(None).cast("string"), none)).union(cut)
+    texts = files.select("path", "language", lines_of(F.col("content")).alias("lines"))
+    joined = whole.join(texts, "path").join(tags.withColumnRenamed("tags", "file_tags"), "path", "left")
+    content = F.array_join(F.slice("lines", F.col("start_line").cast("int"), (F.col("end_line") - F.col("start_line") + 1).cast("int")), "\n")
+    key = F.sha2(F.concat_ws("\x1f", "path", F.col("start_line").cast("string"), F.col("end_line").cast("string")), 256)
+    return joined.select(
+        F.concat(F.lit("chunk::"), F.substring(key, 1, 20)).alias("chunk_id"), "path", F.col("start_line").cast("int"), F.col("end_line").cast("int"), content.alias("content"), F.sha2(content, 256).alias("content_hash"),
+        "symbol_id", "language", F.array_distinct(F.concat(F.coalesce("file_tags", none), "tags")).alias("tags"),
+    )

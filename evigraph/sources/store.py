@@ -121,6 +121,17 @@ class Store:
         self._put({"version": self.VERSION, "generation": n, "tables": sorted(whole), "metadata": m["metadata"] | (metadata or {})})
         return n
 
+    def stage(self, name: str, df: DataFrame) -> DataFrame:
+        """df, written beside the next generation and read again: plans that build on it stay short, and survive lost executors."""
+        at = f"{self.path}/stage={self.manifest()['generation'] + 1}/{name}"
+        df.write.mode("overwrite").parquet(at)
+        return self.spark.read.parquet(at)
+
+    def clear_stages(self) -> None:
+        jvm, fs = self._fs()
+        for k in range(self.manifest()["generation"] + 2):
+            fs.delete(jvm.org.apache.hadoop.fs.Path(f"{self.path}/stage={k}"), True)
+
     def set_metadata(self, **values) -> None:
         m = self.manifest()
         self._put(m | {"metadata": m["metadata"] | values})
