@@ -147,7 +147,9 @@ class Model:
 
 
 def words_of(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+    """Runs of letters, in lower case. The pattern also takes numbers such as ½, which are dropped."""
+    found = WORD.findall(text.lower())
+    return [x for w in found if (x := w if w.isalpha() else "".join(filter(str.isalpha, w)))]
 
 
 def normal(counts: np.ndarray) -> np.ndarray:

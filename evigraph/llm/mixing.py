@@ -78,7 +78,7 @@ def draw(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
-    """The rows of docs, each as often as it is drawn. Rows that share an id count as one document: each is repeated by the first of their draws."""
+    """The rows of docs, each as often as it is drawn. Rows that share an id count as one document: each is repeated as often as the one that is drawn most."""
     drawn = draw(docs, id_col, text_col, source_col, **how).groupBy("doc_id").agg(F.max("copies").alias("__copies")).withColumnRenamed("doc_id", "__id")
     times = docs.join(drawn, F.col(id_col).cast("long").eqNullSafe(F.col("__id"))).filter("__copies > 0")
     return times.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*[F.col(c) for c in docs.columns])

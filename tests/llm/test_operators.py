@@ -296,6 +296,7 @@ def test_language_id(spark, awkward, empty, docs):
     for r, t in ((r, t) for r in odd for i, t in [(x["doc_id"], x["text"]) for x in awkward.collect()] if i == r["doc_id"] and i in (2, 3, 4)):
         assert r["lang_pred"] == "und" and r["score"] == 0, t
     assert langid.train(empty, langid.public_path()) is None
+    assert langid.words_of("A½b ½ ² Ⅷ_x1y") == ["ab", "x", "y"]
     assert {r["lang_pred"] for r in collected(langid.identify(docs, None))} == {"und"}
     assert not collected(langid.identify(empty, model))
 
