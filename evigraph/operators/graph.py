@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -115,7 +114,3 @@ def owners_touching(edges: DataFrame, nodes: DataFrame, paths: DataFrame, layer:
     own = edges.filter(F.startswith("evidence_path", F.lit(layer)))
     hit = own.join(there, own["source_id"] == there["node_id"], "left_semi").union(own.join(there, own["target_id"] == there["node_id"], "left_semi"))
     return hit.select("evidence_path").distinct()
-
-
-def first_of_group(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
-    return rows.withColumn("__n", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter("__n = 1").drop("__n")

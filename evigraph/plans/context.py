@@ -49,7 +49,7 @@ def candidates(index: store.Store, task: str, persona: personas.Persona, walk: b
     terms = asked.select(F.posexplode(exact_terms(F.col("text"))).alias("term_index", "term"))
     hits = lookup.exact_nodes(nodes, terms, 2 * TOP_EXACT).join(nodes.select("node_id", "kind", "path"), "node_id").filter(~F.coalesce("path", F.lit("")).eqNullSafe("@persona"))
     if persona.policy.start_kinds:
-        hits = fusion_preferred(hits, persona.policy.start_kinds)
+        hits = lookup.preferred(hits, list(persona.policy.start_kinds))
     seeds = held(hits.orderBy(F.desc("score"), "node_id").limit(TOP_EXACT))
     none = F.lit(None).cast("int")
     in_symbol = chunks.join(F.broadcast(seeds.select(F.col("node_id").alias("symbol_id"), "score")), "symbol_id").select("chunk_id", F.least(F.lit(fusion.MOST_EXACT), "score").alias("score"))
@@ -71,10 +71,6 @@ def candidates(index: store.Store, task: str, persona: personas.Persona, walk: b
     return fusion.fuse(rows, ["chunk_id"]).join(few, "chunk_id"), seeds
 
 
-def fusion_preferred(hits: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
-    return lookup.preferred(hits, list(kinds))
-
-
 def context(index: store.Store, task: str, persona: str | None = None, profile: str = "auto", budget: int | None = None, exclude: frozenset[str] = frozenset(), clarify: bool = False, known: dict[str, personas.Persona] | None = None, count: Callable[[str], int] = packing.tokens_of) -> dict:
     """The bundle for a task: the best evidence that its budget holds, with scores and reasons."""
     if not task.strip() or len(task) > MOST_TASK:

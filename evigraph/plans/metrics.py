@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from evigraph.operators import evaluate, metrics
+from evigraph.operators import evaluate, metrics, search
 from evigraph.plans.common import literal_rows, query, values_sql
 from evigraph.plans.retrieval import DOCS, WEIGHTS, bm25_sql, chunk_rows
-from evigraph.operators import search
 from evigraph.sources import personas
 from evigraph.sources.tables import EDGES_SQL, FILES_SQL, METRICS_SQL, NODES_SQL, edges, files, nodes, table
 from evigraph.sources.tables import metrics as metric_log
