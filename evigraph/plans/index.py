@@ -64,8 +64,8 @@ def scan(spark: SparkSession, root: str, index: store.Store, ignore: Iterable[st
     same = m["generation"] > 0 and meta.get("settings") == settings and not meta.get("degraded")
     if same and not full and head and head == meta.get("commit") and not dirty and not meta.get("dirty"):
         return {"skipped": True, "generation": m["generation"], "changed": 0, "deleted": 0, "failed": []}
-    listed = files.listing(spark, root, ignore=ignore).persist()
-    now = files.snapshot(listed)
+    listed = files.listing(spark, root, ignore=ignore)
+    now = files.snapshot(listed).persist()  # names, sizes and times alone: no file is opened for it
     fresh = m["generation"] == 0 or meta.get("settings") != settings or full
     if fresh:
         changes = now.select("path", F.lit("added").alias("change"))
@@ -103,7 +103,7 @@ def scan(spark: SparkSession, root: str, index: store.Store, ignore: Iterable[st
     n = index.publish({"files": table, "nodes": nodes, "edges": whole, "chunks": chunks}, {"commit": head, "dirty": dirty, "settings": settings, "degraded": bool(failed), "failed": [r["path"] for r in failed]})
     counts = {r["change"]: r["count"] for r in changes.groupBy("change").count().collect()}
     index.clear_stages()
-    for df in (listed, changes, read, parts["facts"]):
+    for df in (now, changes, read, parts["facts"]):
         df.unpersist()
     return {"skipped": False, "generation": n, "changed": counts.get("added", 0) + counts.get("modified", 0), "deleted": counts.get("deleted", 0), "failed": [tuple(r) for r in failed], "seconds": round(time.time() - began, 3)}
 
