@@ -6,6 +6,7 @@ import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,7 +54,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: int, most_bytes: int = 4 <
     for batch in batches:
         if not batch.num_rows:
             continue
-        lengths = [len(x) for x in binary(batch.column(column))]
+        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
         start = size = 0
         for i, n in enumerate(lengths):
             if i > start and (size + n > most_bytes or i - start >= most_rows):

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evigraph.llm.common import binary, record_batch, slices, table
+from evigraph.llm.common import record_batch, slices, table
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
@@ -208,12 +208,15 @@ class Encoder:
         self.word_ids.add(ids, np.bincount(word, lengths, len(plain)).astype(np.int64))
         self.word_ids.add(*self._one_by_one(rest))
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
+    def encode(self, texts: list[bytes] | pa.Array) -> list[bytes]:
+        """The ids of each text; null counts as empty."""
+        if not isinstance(texts, pa.Array):
+            texts = pa.array(texts, pa.binary()).cast(pa.string())
         if len(self.words) > self.most:
             self.words, self.word_ids = {}, Ids()
         if len(self.runs) > self.most:
             self.runs, self.run_ids = {}, Ids()
-        split = pc.ascii_split_whitespace(pc.ascii_lower(pa.array(texts, pa.binary()).cast(pa.string())))
+        split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
         found = split.flatten().dictionary_encode()
         words = found.dictionary.to_pylist()
         get = self.words.get
@@ -253,8 +256,8 @@ def pack(docs: DataFrame, path: str, capacity: Capacity | None = None, id_col: s
                 yield record_batch({n: (pa.int64(), columns[i]) for i, n in enumerate(x.split()[0] for x in SCHEMA.split(", "))})
 
         for batch in slices(batches, 1, most_bytes=8 << 20):
-            prompts = encoder.encode(binary(batch.column(2))) if prompt_col else [b""] * batch.num_rows
-            for key, text, head in zip(batch.column(0).to_pylist(), encoder.encode(binary(batch.column(1))), prompts, strict=True):
+            prompts = encoder.encode(batch.column(2)) if prompt_col else [b""] * batch.num_rows
+            for key, text, head in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1)), prompts, strict=True):
                 ids = head + text + end
                 loss = bytes(len(head) // 4) + b"\1" * ((len(ids) - len(head)) // 4) if head else None
                 packer.add(Example((key,), ids, 0, len(ids) // 4, loss))
