@@ -26,7 +26,9 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+IBAN_START = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=\x20?[A-Z0-9])")
+IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}")
+IBAN_END = re.compile(r"(?<=[A-Z0-9])(?![A-Za-z0-9])")
 LOCAL = re.compile(r"(?<![\w+.-])(?:\([0-9]{2,5}\)[\x20-]?|[0-9]{2,5}[\x20./-])[0-9]{2,4}(?:[\x20.-]?[0-9]{2,4}){1,3}(?![\w.-]*[0-9])")
 DIGIT = re.compile(r"[0-9]")
 
@@ -65,6 +67,17 @@ def mod97(iban: str) -> bool:
     return 15 <= len(plain) <= 34 and int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
 
 
+def ibans(text: str) -> Iterator[tuple[int, int]]:
+    """From each start the longest run up to the end of a word whose checksum holds: words in upper case may follow a number."""
+    done = 0
+    for m in IBAN_START.finditer(text):
+        if m.start() >= done and (most := IBAN.match(text, m.start())):
+            ends = [e.start() for e in IBAN_END.finditer(text, m.end(), min(len(text), most.end() + 1)) if e.start() <= most.end()]
+            done = next((e for e in reversed(ends) if mod97(text[m.start() : e])), done)
+            if done > m.start():
+                yield m.start(), done
+
+
 def emails(text: str) -> Iterator[tuple[int, int]]:
     """As the pattern [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+ finds them, from each @ outwards, in linear time."""
     done, at = 0, text.find("@")
@@ -107,7 +120,7 @@ def find(text: str) -> list[Span]:
     taken = sorted((s, e) for _, s, e in base)
     more: list[tuple[str, int, int]] = []
     if DIGIT.search(text):
-        more += [("iban", *m.span()) for m in IBAN.finditer(text) if mod97(m[0])]
+        more += [("iban", *x) for x in ibans(text)]
         more += [("local", *m.span()) for m in LOCAL.finditer(text) if 7 <= len(DIGIT.findall(m[0])) <= 12]
     out = [Span(*x, score(text, *x)) for x in base]
     for x in more:

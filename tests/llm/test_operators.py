@@ -256,6 +256,18 @@ def test_pii_method_adds_and_redacts(awkward):
     assert out[11]["text"] == "mail <EMAIL>, <PHONE> and <IP>" and out[2]["text"] is None and out[5]["copies"] == 9
 
 
+@pytest.mark.parametrize(
+    ("text", "number"),
+    [
+        ("IBAN DE89370400440532013000 BIC COBADEFFXXX", "DE89370400440532013000"), ("GB82 WEST 1234 5698 7654 32 A transfer", "GB82 WEST 1234 5698 7654 32"), ("DE89370400440532013000 2024 invoice", "DE89370400440532013000"),
+        ("AB12 CDEF DE89 3704 0044 0532 0130 00 EUR", "DE89 3704 0044 0532 0130 00"), ("DE89370400440532013000", "DE89370400440532013000"), ("DE89370400440532013000x", None), ("DE88370400440532013000 BIC", None),
+    ],
+)
+def test_ibans_before_upper_case_words(text, number):
+    assert [text[x.start : x.end] for x in pii.find(text) if x.kind == "iban"] == [number] * (number is not None)
+    assert number is None or pii.redact(text, [x for x in pii.find(text) if x.kind == "iban"]) == text.replace(number, "<IBAN>")
+
+
 def test_quality(spark, awkward, empty, docs, sf_dir):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality.train(docs, labels)
