@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evigraph.llm import mixing, packing, pii, quality, simhash
+from evigraph.llm import mixing, nearcopies, packing, pii, quality
 from evigraph.llm.common import shared_dir, table
 
 
@@ -17,8 +17,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies the document with the smallest id."""
-    return simhash.keep_one(docs)
+    """Of each component of near copies, by five-word shingles and a Jaccard similarity of 0.8, the document with the smallest id."""
+    return nearcopies.keep_one(docs, shingle=5, alike=0.8)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +38,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality classifier", good_quality),
-    ("SimHash near-dedup", without_near_copies),
+    ("near-dedup", without_near_copies),
     ("PII", without_personal_data),
     ("mixing sources to target weights", mixed),
     ("packing", packed),

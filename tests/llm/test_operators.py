@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from evigraph.llm import hmm, langid, mixing, packing, pii, quality, repetition, simhash, sketches
+from evigraph.llm import hmm, langid, mixing, nearcopies, packing, pii, quality, repetition, simhash, sketches
 
 
 def collected(df):
@@ -102,6 +102,33 @@ def test_keep_one(awkward, docs):
     assert {r["doc_id"] for r in collected(simhash.keep_one(docs))} == {r["component_id"] for r in classes}
 
 
+def test_stage_drops_copies_beyond_simhash(spark, awkward, empty):
+    """Components of the pipeline's stage against all pairs, on families whose copies differ by replaced runs of words."""
+    import corpus_pipeline
+
+    rng = np.random.default_rng(7)
+    texts = []
+    for family in range(12):
+        base = [f"w{x}" for x in rng.integers(0, 5000, 300)]
+        for _ in range(8):
+            copy = list(base)
+            for at in rng.integers(0, 290, int(rng.integers(0, 8))):
+                copy[at : at + 3] = [f"x{x}" for x in rng.integers(0, 10**6, 3)]
+            texts.append(" ".join(copy))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    near = [(a, b) for a in range(len(texts)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    group = list(range(len(texts)))
+    for _ in texts:
+        for a, b in near:
+            group[a] = group[b] = min(group[a], group[b])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bits = [(simhash.fingerprint(texts[a].encode()) ^ simhash.fingerprint(texts[b].encode())).bit_count() for a, b in near]
+    assert max(bits) > simhash.LINK
+    assert {r["doc_id"] for r in collected(corpus_pipeline.without_near_copies(spark, df, ""))} == set(group)
+    kept = collected(nearcopies.keep_one(awkward))
+    assert Counter(r["doc_id"] for r in kept) == Counter([1, 2, 5, None, 8, 8, 9, 10, 11, 12, 13, 14]) and not collected(nearcopies.keep_one(empty))
+
+
 def test_repetition(awkward, empty, rows, docs):
     def brute(text):
         words = (text or "").encode().split()
