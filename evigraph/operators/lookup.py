@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from evigraph.functions.scores import bm25_norm
 from evigraph.functions.text import normalize_search
+from evigraph.operators import search
 
 
 def normalized(nodes: DataFrame) -> DataFrame:
@@ -38,6 +40,26 @@ def exact_nodes(nodes: DataFrame, terms: DataFrame, limit: int = 20) -> DataFram
     return best.orderBy(F.desc("score"), "seen.term_index", "seen.rank", "node_id").limit(limit).select("node_id", "qualified_name", "score")
 
 
+def exact_or_full_text(nodes: DataFrame, terms: DataFrame, limit: int = 20) -> DataFrame:
+    """As exact_nodes, but while the terms so far have found fewer than `limit` nodes, a term also adds full-text hits of its words as prefixes.
+
+    Terms are few and each finds at most `limit` nodes either way, so the hits are merged in the driver, term by term."""
+    weights = {c: w for c, w in search.NODE_WEIGHTS.items() if c in nodes.columns}
+    texts = search.search(nodes, "node_id", weights, terms.select(F.col("term_index").alias("query"), F.col("term").alias("text")), limit, prefix=True)
+    full = texts.select(F.col("query").alias("term_index"), F.col("doc").alias("node_id"), search.node_score(bm25_norm(F.col("score"))).alias("score"), "rank")
+    full = full.join(nodes.select("node_id", "qualified_name"), "node_id").select("term_index", "node_id", "qualified_name", "score", "rank")
+    first, more = (sorted(df.collect(), key=lambda r: (r["term_index"], r["rank"])) for df in (term_hits(nodes, terms, limit), full))
+    best: dict[str, tuple[str, float]] = {}
+    for term in sorted({r["term_index"] for r in [*first, *more]}):
+        for hits in (first, more):
+            if hits is first or len(best) < limit:
+                for r in hits:
+                    if r["term_index"] == term and (r["node_id"] not in best or r["score"] > best[r["node_id"]][1]):
+                        best[r["node_id"]] = (r["qualified_name"], r["score"])
+    rows = sorted(((n, q, s) for n, (q, s) in best.items()), key=lambda r: -r[2])[:limit]
+    return nodes.sparkSession.createDataFrame(rows, "node_id string, qualified_name string, score double")
+
+
 def preferred(hits: DataFrame, kinds: list[str]) -> DataFrame:
     """Hits of the given kinds, or all where none is of them."""
     wanted = F.col("kind").isin(*kinds)

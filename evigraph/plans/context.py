@@ -47,7 +47,7 @@ def candidates(index: store.Store, task: str, persona: personas.Persona, walk: b
     chunks = index.read("chunks").join(names, "symbol_id", "left")
     asked = spark.createDataFrame([("q", task)], "query string, text string")
     terms = asked.select(F.posexplode(exact_terms(F.col("text"))).alias("term_index", "term"))
-    hits = lookup.exact_nodes(nodes, terms, 2 * TOP_EXACT).join(nodes.select("node_id", "kind", "path"), "node_id").filter(~F.coalesce("path", F.lit("")).eqNullSafe("@persona"))
+    hits = lookup.exact_or_full_text(nodes, terms, 2 * TOP_EXACT).join(nodes.select("node_id", "kind", "path"), "node_id").filter(~F.coalesce("path", F.lit("")).eqNullSafe("@persona"))
     if persona.policy.start_kinds:
         hits = lookup.preferred(hits, list(persona.policy.start_kinds))
     seeds = held(hits.orderBy(F.desc("score"), "node_id").limit(TOP_EXACT))

@@ -18,6 +18,15 @@ def test_lookup(spark):
     assert [(r["node_id"], r["score"]) for r in lookup.exact_nodes(n, t).collect()] == [("j::B", 1.0), ("j::A", 1.0), ("j::C", 0.8)]
 
 
+def test_full_text_finds_words_inside_names(spark):
+    n = spark.createDataFrame([("j::A", "class", "A", "com.acme.Payment", "src/a/A.java"), ("j::B", "class", "acme", "acme", "b/B.java"), ("j::C", "class", "C", "x.C", "c")], "node_id string, kind string, name string, qualified_name string, path string")
+    t = spark.createDataFrame([(0, "acme"), (1, "paym")], "term_index int, term string")
+    assert [r["node_id"] for r in lookup.exact_nodes(n, t).collect()] == ["j::B"]
+    got = {r["node_id"]: r["score"] for r in lookup.exact_or_full_text(n, t).collect()}
+    assert set(got) == {"j::A", "j::B"} and got["j::B"] == 1.0 and 0.6 < got["j::A"] < 0.7
+    assert [r["node_id"] for r in lookup.exact_or_full_text(n, t, 1).collect()] == ["j::B"]
+
+
 def test_walk(spark):
     e = [("root", "D", f"c{i}") for i in range(5)] + [(f"c{i}", "D", f"l{i}") for i in range(5)] + [("x", "A", "root")]
     df = spark.createDataFrame(e, "source_id string, relation string, target_id string")
