@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -12,18 +14,20 @@ from pyspark.sql import functions as F
 
 from evigraph.sources.tables import table
 
-__all__ = ["WORD", "binary", "cut", "record_batch", "row_hash", "shared_dir", "slices", "strings", "table"]
+__all__ = ["WORD", "Scratch", "binary", "cut", "record_batch", "row_hash", "shared_dir", "slices", "strings", "table", "unused"]
 
 #: A word is a run of characters other than space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (local runs)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local run gets a temporary one, and a cluster an error, as its machines would not see each other's files."""
     context = spark.sparkContext
-    named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not named:
-        named = context.getCheckpointDir() or tempfile.mkdtemp(prefix="evigraph-checkpoint-")
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="evigraph-checkpoint-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(named)
     return named
@@ -35,11 +39,38 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+class Scratch:
+    """A folder below the shared one for tables between jobs. What isn't dropped before goes when the application ends."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4()}"
+        folder = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        self.store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        self.store.mkdirs(folder)
+        self.store.deleteOnExit(folder)
+
+    def written(self, name: str, df: DataFrame) -> DataFrame:
+        """The rows of df, written as a table and read again: a plan of its own."""
+        df.write.parquet(f"{self.path}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
+
+    def drop(self, name: str) -> None:
+        self.store.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}"), True)
+
+
 def row_hash(id_col: str | Column) -> Column:
     """crc32 of the id as text; null ids count as the empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string") if isinstance(id_col, str) else id_col.cast("string"), F.lit("")))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, with as many signs before it as make it none of df's; names are equal whatever their case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def binary(column: pa.Array) -> list[bytes]:
     """UTF-8 of each text; null counts as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

@@ -1,27 +1,37 @@
-"""Connected components of an undirected graph given as rows, by label passing with pointer jumping."""
+"""Connected components of an undirected graph given as rows, by hooking parents and jumping to grandparents."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evigraph.llm.common import cut
+from evigraph.llm.common import Scratch
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """edges (a, b), in any order and with repeats -> (node, root); root is the smallest node that can be reached.
 
-    Each round a node takes the smallest label among its own and its neighbours', then the label of its label, so
-    the rounds grow with the logarithm of the longest path. Rounds are cut with checkpoints. Both steps aggregate
-    before they shuffle, and the only wide rows are two longs. No edges: no rows. Self loops keep a lone node."""
-    edges = cut(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    labels = cut(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("root")))
+    Each round every node hears its neighbours' smallest grandparent; what it hears lowers its own parent and its
+    parent's parent, and each parent gives way to a grandparent. As whole trees are hooked, not nodes, rounds grow
+    with the logarithm of the longest path. Each round is written to the shared folder and read again, so that no plan, statistic or
+    partitioning is carried on; of the rounds only the last one stays there. Proposals are aggregated before they are
+    shuffled, and no row holds more than a few longs. No edges: no rows. Self loops keep a lone node; edges with a null end are left out."""
+    scratch = Scratch(edges.sparkSession, "components")
+    ends = edges.select("a", "b").filter("a is not null and b is not null")
+    edges = scratch.written("edges", ends.union(ends.select("b", "a")).distinct())
+    parents = scratch.written("0", edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("up")))
+    turn = 0
     while True:
-        heard = edges.join(labels, edges.b == labels.node).groupBy("a").agg(F.min("root").alias("heard"))
-        passed = labels.join(heard, labels.node == heard.a, "left").select("node", F.col("root").alias("old"), F.least("root", F.coalesce("heard", "root")).alias("root"))
-        jump = passed.select(F.col("node").alias("at"), F.col("root").alias("next"))
-        moved = cut(passed.join(jump, passed.root == jump["at"]).select("node", "old", F.col("next").alias("root")))
-        done = moved.filter("old <> root").isEmpty()
-        labels = moved.select("node", "root")
-        if done:
-            return labels
+        above = parents.select(F.col("node").alias("at"), F.col("up").alias("grand"))
+        known = parents.join(above.hint("merge"), parents["up"] == above["at"]).select("node", "up", "grand")
+        heard = edges.join(known.select(F.col("node").alias("b"), "grand").hint("merge"), "b").groupBy(F.col("a").alias("of")).agg(F.min("grand").alias("heard"))
+        low = F.least("grand", F.coalesce("heard", "grand"))
+        found = known.join(heard, known["node"] == heard["of"], "left").select("node", "up", low.alias("low"))
+        proposals = found.select("node", "low", F.col("up").alias("was")).union(found.select("up", "low", F.lit(None).cast("long")))
+        turn += 1
+        parents = scratch.written(str(turn), proposals.groupBy("node").agg(F.min("low").alias("up"), F.max("was").alias("was")))
+        scratch.drop(str(turn - 1))
+        if parents.filter("up <> was").isEmpty():
+            scratch.drop("edges")
+            return parents.select("node", F.col("up").alias("root"))
+        parents = parents.select("node", "up")

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from evigraph.llm import hmm, langid, mixing, nearcopies, packing, pii, quality, repetition, simhash, sketches
+from evigraph.llm import components, hmm, langid, mixing, nearcopies, packing, pii, quality, repetition, simhash, sketches
 
 
 def collected(df):
@@ -73,7 +73,7 @@ def test_simhash_links_large_groups(spark):
         return {frozenset(f for f in signed if root(f) == r) for r in {root(f) for f in signed}}
 
     wanted = components([(a, b) for a in signed for b in signed if a < b and ((a ^ b) & (1 << 64) - 1).bit_count() <= 3])
-    for small, large in ((64, 20_000), (2, 20_000), (2, 3)):
+    for small, large in ((64, 20_000), (2, 20_000), (2, 3), (2, 20)):
         old = simhash.SMALL, simhash.LARGE
         simhash.SMALL, simhash.LARGE = small, large
         try:
@@ -93,13 +93,75 @@ def test_pigeonring_misses_no_pair():
             assert simhash.chain_ok(np.repeat(x, len(keys)), keys // 2).any()
 
 
-def test_keep_one(awkward, docs):
+def components_of(nodes, edges):
+    at = {n: n for n in nodes}
+
+    def root(x):
+        while at[x] != x:
+            at[x] = x = at[at[x]]
+        return x
+
+    for a, b in edges:
+        one, two = sorted((root(a), root(b)))
+        at[two] = one
+    return {n: root(n) for n in nodes}
+
+
+@pytest.mark.parametrize("shape", ["chain of 64", "chain of 1024", "chain of 10000", "sorted chain", "star", "clique", "several", "none"])
+def test_components(spark, shape, monkeypatch):
+    """Every shape gives the components of union by hand, long chains within 30 rounds."""
+    rng, rounds = np.random.default_rng(3), []
+    if shape.startswith("chain"):
+        names = [int(x) for x in rng.permutation(int(shape.split()[-1]))]
+        edges = list(zip(names, names[1:]))
+    else:
+        edges = {"sorted chain": [(i, i + 1) for i in range(300)], "star": [(5000, i) for i in range(3000)], "clique": [(i, j) for i in range(60) for j in range(60)], "none": []}.get(shape, [(int(a), int(b)) for a, b in rng.integers(-500, 500, (450, 2))])
+    wanted = components_of({x for e in edges for x in e}, edges)
+    plain = components.Scratch.written
+    monkeypatch.setattr(components.Scratch, "written", lambda self, name, df: rounds.append(name) or plain(self, name, df))
+    found = {r["node"]: r["root"] for r in collected(components.connected_components(spark.createDataFrame(edges, "a long, b long")))}
+    assert found == wanted and len(rounds) < 32
+
+
+def test_keep_one(spark, awkward, docs, empty):
     kept = collected(simhash.keep_one(awkward.filter("text is null or length(text) < 50000")))
     ids = [r["doc_id"] for r in kept if r["doc_id"] is not None]
-    assert len(ids) == len(set(ids)) and 1 in ids and 6 not in ids
-    assert sum(r["text"] == "no id here" for r in kept) == 1
+    assert 1 in ids and 6 not in ids and sum(r["text"] == "no id here" for r in kept) == 1
+    assert sorted(r["text"] for r in kept if r["doc_id"] == 8) == ["same id", "same id, other text"]  # one id, but no copies
     classes = collected(simhash.near_duplicates(docs))
     assert {r["doc_id"] for r in collected(simhash.keep_one(docs))} == {r["component_id"] for r in classes}
+    assert not collected(simhash.keep_one(empty))
+    clash = spark.createDataFrame([(1, "a b c d", 5, 6, 7), (2, "a b c d", 8, 9, 10)], "doc_id long, text string, none int, number int, H int")
+    for kept in (simhash.keep_one(clash), nearcopies.keep_one(clash)):
+        assert [tuple(r) for r in kept.collect()] == [(1, "a b c d", 5, 6, 7)]
+
+
+def test_large_groups_miss_no_link(spark, monkeypatch):
+    """Groups dealt out in blocks give the components of all pairs."""
+    rng = np.random.default_rng(11)
+    base, texts = [f"w{x}" for x in rng.integers(0, 5000, 200)], []
+    for _ in range(120):
+        copy = list(base)
+        for at in rng.integers(0, 190, int(rng.integers(1, 7))):
+            copy[at : at + 2] = [f"x{x}" for x in rng.integers(0, 10**6, 2)]
+        texts.append(" ".join(copy))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    wanted = components_of(range(len(texts)), [(a, b) for a in range(len(texts)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for large in (4096, 8):
+        monkeypatch.setattr(nearcopies, "LARGE", large)
+        monkeypatch.setattr(nearcopies, "ANCHORS", 3)
+        classes = defaultdict(list)
+        for r in collected(nearcopies.near_copies(df)):
+            classes[r["root"]].append(r["doc_id"])
+        assert {frozenset(v) for v in classes.values()} == {frozenset(k for k in wanted if wanted[k] == r) for r in set(wanted.values())}
+    assert 1 < len(set(wanted.values())) < 100
+
+
+def test_ring_is_the_hamming_check():
+    rng = np.random.default_rng(4)
+    x = np.array([sum(1 << int(b) for b in rng.choice(64, int(n), replace=False)) for n in rng.integers(0, 30, 4000)], np.uint64)
+    assert (simhash.ring_ok(x, nearcopies.SEGMENTS, nearcopies.RADIUS) == (np.bitwise_count(x) <= nearcopies.RADIUS)).all()
 
 
 def test_stage_drops_copies_beyond_simhash(spark, awkward, empty):
