@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evigraph.llm import mixing, nearcopies, packing, pii, quality
-from evigraph.llm.common import shared_dir, table
+from evigraph.llm.common import Scratch, table
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,7 +15,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies, by five-word shingles and a Jaccard similarity of 0.8, the document with the smallest id."""
+    """Of each component of near copies (SimHash with pigeonring pruning, then a Jaccard similarity of 0.8 of five-word shingles) the document with the smallest id."""
     return nearcopies.keep_one(docs, shingle=5, alike=0.8)
 
 
@@ -38,7 +36,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality classifier", good_quality),
-    ("near-dedup", without_near_copies),
+    ("SimHash near-dedup", without_near_copies),
     ("PII", without_personal_data),
     ("mixing sources to target weights", mixed),
     ("packing", packed),
@@ -49,8 +47,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, folder = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4()}"
+    docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark, "pipeline")
     for k, (_, stage) in enumerate(STAGES[:-1]):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
-        docs = spark.read.parquet(f"{folder}/{k}")
+        docs = scratch.written(str(k), stage(spark, docs, sf_dir))
+        scratch.drop(str(k - 1))
     return STAGES[-1][1](spark, docs, sf_dir)
