@@ -159,8 +159,11 @@ class Encoder:
     def __init__(self, path: str, most: int = 700_000):
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
+        self.model, self.whole = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.model.encode_special_tokens = True  # words are put in lower case first, which must not make an added token of them
+        special = [x.content for x in self.model.get_added_tokens_decoder().values()]
+        #: Texts that hold the string of an added token are encoded whole, as the tokenizer cuts them there before all else.
+        self.special = re.compile("|".join(map(re.escape, special))) if special else None
         vocabulary = self.model.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[k for x, k in vocabulary.items() if x.endswith("</w>")]] = True
@@ -212,11 +215,21 @@ class Encoder:
         """The ids of each text; null counts as empty."""
         if not isinstance(texts, pa.Array):
             texts = pa.array(texts, pa.binary()).cast(pa.string())
+        texts = pc.fill_null(texts, "")
+        if self.special is None:
+            return self._by_words(texts)
+        marked = pc.match_substring_regex(texts, self.special.pattern)
+        if not pc.any(marked).as_py():
+            return self._by_words(texts)
+        plain = iter(self._by_words(texts.filter(pc.invert(marked))))
+        return [np.array(self.whole.encode(x.as_py(), add_special_tokens=False).ids, "<u4").tobytes() if whole else next(plain) for x, whole in zip(texts, marked.to_pylist(), strict=True)]
+
+    def _by_words(self, texts: pa.Array) -> list[bytes]:
         if len(self.words) > self.most:
             self.words, self.word_ids = {}, Ids()
         if len(self.runs) > self.most:
             self.runs, self.run_ids = {}, Ids()
-        split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+        split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
         found = split.flatten().dictionary_encode()
         words = found.dictionary.to_pylist()
         get = self.words.get
