@@ -2,7 +2,8 @@
 
 The suffixes of all texts of a batch are sorted together by prefix doubling; a word's rank holds its text, so no
 repeat crosses texts. The ranks of each round give the longest common prefix (LCP) of neighbours. A suffix's larger LCP is the
-longest repeated run of words that starts there; the runs of LCP intervals, united, are the repeated part of a text.
+longest repeated run of words that starts there. An occurrence is maximal unless the word before starts a repeat that is
+one word longer; the spans of the maximal occurrences, united, are the repeated part of a text.
 """
 
 from __future__ import annotations
@@ -24,12 +25,13 @@ NOT_SYMBOL = bytes(x for x in range(256) if x not in b"#*$%&|<>")
 @dataclass(frozen=True)
 class Limits:
     """window: words in a base window. least: words in a repeat that the verdict counts. covered: largest fraction of a
-    text's word characters within such repeats. longest: most words in one repeat. The last two bind from floor words on."""
+    text's word characters within such repeats. longest: most words in one repeat. A line of a dozen words that stands twice
+    in a text of 60 stays within both; a paragraph that stands twice, or lines that fill two fifths of a text, don't."""
 
     window: int = 3
-    least: int = 10
-    covered: float = 0.3
-    longest: int = 120
+    least: int = 6
+    covered: float = 0.4
+    longest: int = 30
     base_words: int = 50
     base_percent: int = 50
 
@@ -84,6 +86,11 @@ def repeats(words: np.ndarray, text: np.ndarray) -> np.ndarray:
     return most
 
 
+def maximal(most: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """The words at which a maximal occurrence of a repeat starts."""
+    return np.flatnonzero((most > 0) & np.r_[True, (most[:-1] != most[1:] + 1) | (text[:-1] != text[1:])]) if len(most) else np.zeros(0, np.int64)
+
+
 def covered(most: np.ndarray, least: int) -> np.ndarray:
     """Which words lie in a repeat of at least so many words."""
     at = np.arange(len(most))
@@ -112,6 +119,12 @@ def measure(texts: list[str], limits: Limits) -> dict[str, np.ndarray]:
     longest = np.zeros(len(texts), np.int64)
     np.maximum.at(longest, text, most)
     start = np.concatenate([[0], np.cumsum(sizes)])
+    starts = maximal(most, text)
+    starts = starts[most[starts] >= limits.least]
+    many = np.bincount(text[starts], minlength=len(texts))
+    begins = np.full(len(texts), -1, np.int64)
+    tops = starts[most[starts] == longest[text[starts]]][::-1]
+    begins[text[tops]] = tops - start[text[tops]]
     repeated, wide = np.zeros(len(most), bool), np.zeros(len(most), bool)
     # a repeat ends within its text, so the running maximum never leaks into the next one
     repeated[:], wide[:] = covered(most, limits.window), covered(most, limits.least)
@@ -122,16 +135,19 @@ def measure(texts: list[str], limits: Limits) -> dict[str, np.ndarray]:
     return {
         "n_words": sizes, "word_chars": np.array(chars, np.int64), "n_symbols": np.array(symbols, np.int64), "n_dup_lines": np.array(lines, np.int64),
         "n_repeat_words": n_repeat, "base_failed": failed, "kept": ~failed & (share <= limits.covered) & (longest <= limits.longest),
-        "repeat_share": share, "longest_repeat": longest,
+        "repeat_share": share, "longest_repeat": longest, "n_repeats": many, "longest_start": begins,
     }
 
 
-TYPES = {k: pa.int64() for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")} | {"base_failed": pa.bool_(), "kept": pa.bool_(), "repeat_share": pa.float64(), "longest_repeat": pa.int64()}
+TYPES = {k: pa.int64() for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")} | {"base_failed": pa.bool_(), "kept": pa.bool_(), "repeat_share": pa.float64(), "longest_repeat": pa.int64(), "n_repeats": pa.int64(), "longest_start": pa.int64()}
 
 
 def repetition_rules(docs: DataFrame, limits: Limits | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row of counts and the verdict for each row of docs, whole texts only; no shuffle.
 
+    repeat_share: of word characters, within repeats of at least `least` words; longest_repeat: in words; n_repeats: maximal
+    occurrences of such repeats; longest_start: the number of the word at which the first longest one starts, -1 without any.
+
     Null and empty texts have no word, fail the base rule and aren't kept. Repeated rows and repeated ids give a row
     each, null ids stay null, an empty table gives no rows, and other columns are ignored, whatever their names. A
     repeat may overlap itself; ties need no choice, as every repeat is counted."""
@@ -142,7 +158,7 @@ def repetition_rules(docs: DataFrame, limits: Limits | None = None, id_col: str
             found = measure(strings(batch.column(1)), limits)
             yield record_batch({"doc_id": (pa.int64(), batch.column(0))} | {k: (t, found[k]) for k, t in TYPES.items()})
 
-    schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, repeat_share double, longest_repeat long"
+    schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, repeat_share double, longest_repeat long, n_repeats long, longest_start long"
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, schema)
 
 
