@@ -1,8 +1,9 @@
 """Document fingerprints: threshold-scaled sketches, by built-in functions only.
 
-A sketch keeps the hash of every shingle of a text that is below a fixed fraction of all hashes, so texts of very
-unequal length compare under one threshold, and the sketch of two texts together is the union of theirs. A text none of whose
-hashes is below keeps its smallest one, so that no text with a word has an empty sketch.
+A sketch keeps the hash of every five-word shingle of a text that is below a fixed fraction of all hashes, so texts of very
+unequal length compare under one threshold, and the sketch of two texts together is the union of theirs. A text of few
+words has too few such hashes to be told by: it also keeps, whole, the hashes of its two-word shingles, by which texts of few
+words are compared with each other.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from evigraph.llm.common import table
 SHINGLE = 5
 #: One hash of so many is kept.
 SCALE = 4
+#: Texts of fewer than FEW words keep all shingles of FINE words as well.
+FEW, FINE = 40, 2
 #: Followers are looked up within blocks of ascending ids: this many quantile ranges, each cut evenly into blocks of about so many rows.
 RANGES, ROWS = 256, 20_000
 #: Up to so many blocks, the table of their first ids (two longs each) is sent to all tasks; beyond, it is joined by a shuffle.
@@ -23,14 +26,15 @@ SENT = 1_000_000
 SPACES = r"[\x20\x09-\x0D]+"
 
 
-def hashes(text: Column, shingle: int = SHINGLE) -> Column:
-    """The xxhash64 of each run of `shingle` words; of all words where there are fewer; none without a word."""
-    word = F.transform(F.filter(F.split(text, SPACES), lambda w: w != ""), lambda w: F.xxhash64(w))
-    return F.transform(F.array(word), lambda h: F.when(F.size(h) >= shingle, _runs(h, shingle)).when(F.size(h) > 0, F.array(F.xxhash64(h))).otherwise(F.array().cast("array<bigint>")))[0]
+def let(value: Column, then) -> Column:
+    """then(value), where value is evaluated once."""
+    return F.transform(F.array(value), then)[0]
 
 
-def _runs(h: Column, shingle: int) -> Column:
-    return F.transform(F.sequence(F.lit(0), F.size(h) - shingle), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(shingle)]))
+def runs(words: Column, shingle: int) -> Column:
+    """The xxhash64 of each run of `shingle` words; of all words where there are fewer; none without a word."""
+    each = F.transform(F.sequence(F.lit(0), F.size(words) - shingle), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(shingle)]))
+    return F.when(F.size(words) >= shingle, each).when(F.size(words) > 0, F.array(F.xxhash64(words))).otherwise(F.array().cast("array<bigint>"))
 
 
 def limit(scale: int = SCALE) -> int:
@@ -38,25 +42,28 @@ def limit(scale: int = SCALE) -> int:
     return -(1 << 63) + (1 << 64) // scale
 
 
-def sketch(text: Column, shingle: int = SHINGLE, scale: int = SCALE) -> Column:
-    """Ascending distinct hashes. Null counts as empty."""
-    found = hashes(F.coalesce(text, F.lit("")), shingle)
-    return F.transform(F.array(found), lambda h: _kept(h, scale))[0]
+def sketch(text: Column, shingle: int = SHINGLE, scale: int = SCALE, few: int = FEW, fine: int = FINE) -> Column:
+    """A struct of two ascending arrays of distinct hashes: low (those below the limit) and fine (all of a text of few words, else none). Null counts as empty."""
+    words = F.transform(F.filter(F.split(F.coalesce(text, F.lit("")), SPACES), lambda w: w != ""), lambda w: F.xxhash64(w))
+    ordered = lambda a: F.array_sort(F.array_distinct(a))
+    return let(words, lambda w: F.struct(ordered(F.filter(runs(w, shingle), lambda x: x < F.lit(limit(scale)))).alias("low"), F.when(F.size(w) < few, ordered(runs(w, fine))).otherwise(F.array().cast("array<bigint>")).alias("fine")))
 
 
-def _kept(h: Column, scale: int) -> Column:
-    low = F.filter(h, lambda x: x < F.lit(limit(scale)))
-    return F.transform(F.array(low), lambda k: F.when(F.size(k) > 0, F.array_sort(F.array_distinct(k))).when(F.size(h) > 0, F.array(F.array_min(h))).otherwise(k))[0]
+def merge(a: Column, b: Column) -> Column:
+    """The sketch of the shingles of both: low hashes of both, and fine ones if both have some."""
+    both = (F.size(a["fine"]) > 0) & (F.size(b["fine"]) > 0)
+    return F.struct(F.array_sort(F.array_union(a["low"], b["low"])).alias("low"), F.when(both, F.array_sort(F.array_union(a["fine"], b["fine"]))).otherwise(F.array().cast("array<bigint>")).alias("fine"))
 
 
-def merge(a: Column, b: Column, scale: int = SCALE) -> Column:
-    """The sketch of the shingles of both."""
-    return _kept(F.array_union(a, b), scale)
+def _within(a: Column, b: Column) -> Column:
+    return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / F.size(a))
 
 
 def containment(a: Column, b: Column) -> Column:
-    """The estimated share of a's shingles that b has too: 1 if both are empty, 0 if only one is."""
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / F.size(a))
+    """The estimated share of a's shingles that b has too: by fine hashes if both have some, else by low ones. 1 if both are empty, 0 if only one is, or has no low hash."""
+    nothing = lambda x: (F.size(x["low"]) == 0) & (F.size(x["fine"]) == 0)
+    fine = (F.size(a["fine"]) > 0) & (F.size(b["fine"]) > 0)
+    return F.when(nothing(a) & nothing(b), F.lit(1.0)).when(fine, _within(a["fine"], b["fine"])).otherwise(_within(a["low"], b["low"]))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -65,7 +72,9 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def hexed(a: Column) -> Column:
-    return F.array_join(F.transform(a, lambda x: F.lower(F.lpad(F.hex(x), 16, "0"))), "")
+    """16 digits a hash; a point before the fine ones."""
+    digits = lambda x: F.array_join(F.transform(x, lambda h: F.lower(F.lpad(F.hex(h), 16, "0"))), "")
+    return F.concat(digits(a["low"]), F.when(F.size(a["fine"]) > 0, F.concat(F.lit("."), digits(a["fine"]))).otherwise(F.lit("")))
 
 
 def blocks(rows: DataFrame, by: str) -> tuple[Column, int]:
