@@ -24,7 +24,7 @@ BANDS, ROWS = 20, 5
 XOR, ODD = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64)
 ODD |= np.uint64(1)
 #: Bits that may differ, over a ring of so many segments; texts of fewer than FEW shingles, whose fingerprints are coarse, go straight to the shingles.
-RADIUS, SEGMENTS, FEW = 18, 4, 64
+RADIUS, SEGMENTS, FEW = 22, 4, 64
 #: A key's group of more rows, or of more shingles, is dealt out in blocks, all of which hold about ANCHORS rows in common.
 LARGE, LARGE_SHINGLES, ANCHORS = 4096, 8 << 20, 64
 SIGNED = "doc_id long, h long, node long, fp long, n long, keys array<long>"

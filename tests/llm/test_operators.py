@@ -216,6 +216,36 @@ def test_longest_repeat_and_verdict(spark):
     assert not found[3]["kept"] and found[3]["longest_repeat"] == 12 and 0.3 < found[3]["repeat_share"] < 0.6
 
 
+def test_repetition_verdict_against_brute_force(spark):
+    """All suffixes compared by hand; the texts lie on both sides of each limit, and base passes some that the method rejects."""
+    rng, limits = np.random.default_rng(9), repetition.Limits()
+    texts = []
+    for k in range(60):
+        words = [f"w{x}" for x in rng.integers(0, 3000, int(rng.integers(40, 160)))]
+        for _ in range(k % 5):
+            at, n = int(rng.integers(0, len(words))), int(rng.integers(2, 40))
+            words[int(rng.integers(0, len(words))) : 0] = words[at : at + n]
+        texts.append(" ".join(words))
+
+    def brute(text):
+        words = text.split()
+        n = len(words)
+        most = [max((next((k for k in range(n - max(i, j)) if words[i + k] != words[j + k]), n - max(i, j)) for j in range(n) if j != i), default=0) for i in range(n)]
+        inside = {j for i in range(n) if most[i] >= limits.least for j in range(i, i + most[i])}
+        share = sum(len(words[j]) for j in inside) / sum(map(len, words))
+        starts = [i for i in range(n) if most[i] >= limits.least and (i == 0 or most[i - 1] != most[i] + 1)]
+        longest = max(most)
+        return round(share, 9), longest, len(starts), min((i for i in starts if most[i] == longest), default=-1), share <= limits.covered and longest <= limits.longest
+
+    found = sorted(collected(repetition.repetition_rules(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))), key=lambda r: r["doc_id"])
+    for r, t in zip(found, texts, strict=True):
+        share, longest, many, first, fine = brute(t)
+        assert (round(r["repeat_share"], 9), r["longest_repeat"], r["n_repeats"], r["longest_start"]) == (share, longest, many, first)
+        assert r["kept"] == (fine and not r["base_failed"])
+    decided = [r for r in found if not r["base_failed"] and not r["kept"]]
+    assert len(decided) >= 5 and sum(r["kept"] for r in found) >= 10
+
+
 def test_mixing(awkward, empty, rows):
     found = collected(mixing.draw(awkward))
     assert Counter((r["doc_id"], r["size"]) for r in found) == Counter((i, len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))) for i, t in rows)
@@ -257,7 +287,6 @@ def test_packing(awkward, empty, rows):
     from tokenizers import Tokenizer
 
     model = Tokenizer.from_file(packing.public_path())
-    model.encode_special_tokens = True
     found = collected(packing.pack(awkward, packing.public_path()))
     wanted = Counter()
     for i, t in rows:
@@ -308,25 +337,27 @@ def test_encoder_agrees_with_the_tokenizer():
     from tokenizers import Tokenizer
 
     model = Tokenizer.from_file(packing.public_path())
-    model.encode_special_tokens = True
     encoder, rng = packing.Encoder(packing.public_path(), most=50), np.random.default_rng(0)
     letters = list("aB'sré²½ÀßœİſŒ🙂é́ \t\n0123_-.,!tvemld<|>µªº÷×Ÿ中文ñ\x00\x7f")
     for _ in range(60):
         texts = ["".join(rng.choice(letters, int(rng.integers(0, 30)))) for _ in range(20)]
+        texts += ["".join(rng.choice([*letters, "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "<|"], int(rng.integers(1, 9)))) for _ in range(10)] + ["a <|endoftext|> b", "x<|endoftext|>y", ""]
         assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode([t.encode() for t in texts])] == [model.encode(t, add_special_tokens=False).ids for t in texts]
 
 
-def test_pii_base_against_plain_patterns(awkward, empty, rows):
-    def brute(t):
-        out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
-        out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
-        for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t):
-            digits = re.sub("[^0-9]", "", m[0])
-            doubled = [int(c) * (1 + k % 2) for k, c in enumerate(reversed(digits))]
-            if 14 <= len(digits) <= 19 and sum(v - 9 if v > 9 else v for v in doubled) % 10 == 0:
-                out.append(("card", *m.span()))
-        return out + [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 10 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
+def brute_pii(t):
+    out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t):
+        digits = re.sub("[^0-9]", "", m[0])
+        doubled = [int(c) * (1 + k % 2) for k, c in enumerate(reversed(digits))]
+        if 14 <= len(digits) <= 19 and sum(v - 9 if v > 9 else v for v in doubled) % 10 == 0:
+            out.append(("card", *m.span()))
+    return out + [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 10 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
+
 
+def test_pii_base_against_plain_patterns(awkward, empty, rows):
+    brute = brute_pii
     rng = np.random.default_rng(3)
     for k in range(5000):
         t = "".join(rng.choice(list("ab.@-_+0123 9" if k % 3 else "0123456789- +()."), int(rng.integers(0, 60))))
@@ -357,6 +388,61 @@ def test_ibans_before_upper_case_words(text, number):
     assert number is None or pii.redact(text, [x for x in pii.find(text) if x.kind == "iban"]) == text.replace(number, "<IBAN>")
 
 
+def test_pii_finds_planted_secrets_and_leaves_clean_texts(docs):
+    rng = np.random.default_rng(6)
+    hexed = lambda n: "".join(rng.choice(list("0123456789abcdef"), n))
+    mixed = lambda n: "".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"), n))
+    plant = [lambda: f'token = "{hexed(40)}"', lambda: f"api_key: {mixed(32)}", lambda: f"password='{mixed(9)}'", lambda: f"AKIA{hexed(16).upper()}", lambda: f"Authorization: Bearer {mixed(48)}", lambda: "SSN 123-45-6789", lambda: "IBAN GB82 WEST 1234 5698 7654 32"]
+    clean = [r["text"] for r in docs.filter("text is not null").collect() if not pii.find(r["text"])]
+    hit = 0
+    for k in range(210):
+        words = clean[k % len(clean)].split()
+        at, secret = int(rng.integers(0, len(words) + 1)), plant[k % len(plant)]()
+        text = " ".join([*words[:at], secret, *words[at:]])
+        start = text.index(secret)
+        hit += any(start <= x.start and x.end <= start + len(secret) for x in pii.find(text))
+    assert hit >= 0.95 * 210
+    for t in ("the sha1 checksum da39a3ee5e6b4b0d3255bfef95601890afd80709", "a-very-long-hyphenated-compound-word-indeed", "part 123-45-6789", "https://example.com/some/long/path/to/a/page", "pneumonoultramicroscopicsilicovolcanoconiosis", "12345678901234567890123"):
+        assert not [x for x in pii.find(t) if x.kind in pii.KINDS[pii.BASE :]], t
+
+
+def test_pii_digests_against_brute_force(awkward, rows, docs):
+    import hashlib
+
+    order = {k: i for i, k in enumerate(pii.KINDS)}
+    for df, some in ((awkward, rows), (docs, [(r["doc_id"], r["text"]) for r in docs.collect()])):
+        found = collected(pii.detect(df))
+        wanted = Counter()
+        for i, t in some:
+            base = sorted(brute_pii(t or ""), key=lambda x: (x[1], order[x[0]]))
+            wanted[i, hashlib.sha256(",".join(f"{k}:{s}:{e}" for k, s, e in base).encode()).hexdigest()] += 1
+        assert Counter((r["doc_id"], r["base_sha256"]) for r in found) == wanted
+        for r in found:
+            spans = [(k, int(s), int(e)) for k, s, e in (x.split(":") for x in r["spans"].split(",") if x)]
+            assert spans == sorted(spans, key=lambda x: (x[1], order[x[0]])) and len(spans) == r["n_spans"]
+            assert hashlib.sha256(",".join(f"{k}:{s}:{e}" for k, s, e in spans if k in pii.KINDS[:4]).encode()).hexdigest() == r["base_sha256"]
+
+
+def test_pii_added_spans_cut_none(awkward):
+    """Against comparing each stretch with all that are taken; and time grows with the text, not its square."""
+    import time
+
+    rng = np.random.default_rng(8)
+    for _ in range(300):
+        base = [(int(s), int(s + n)) for s, n in zip(rng.integers(0, 100, 6), rng.integers(1, 20, 6), strict=True)]
+        taken, plain = pii.Taken(base), list(base)
+        for s, n in zip(rng.integers(0, 100, 10), rng.integers(1, 20, 10), strict=True):
+            free = not any(a < s + n and s < b for a, b in plain)
+            assert taken.add(int(s), int(s + n), False) == free
+            plain += [(s, s + n)] * free
+    took = []
+    for n in (2000, 16_000):
+        began = time.perf_counter()
+        assert len(pii.find("call 030 1234567 now, " * n)) == n
+        took.append(time.perf_counter() - began)
+    assert took[1] < 24 * took[0]
+
+
 def test_quality(spark, awkward, empty, docs, sf_dir):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality.train(docs, labels)
@@ -490,6 +576,47 @@ def test_sketches(spark, awkward, empty, docs):
     assert lone["near_next"] == 1.0
 
 
+def test_sketches_against_brute_force(spark, docs):
+    import struct
+
+    def of(words, n):
+        runs = [words[i : i + n] for i in range(len(words) - n + 1)] if len(words) >= n else [words] if words else []
+        out = set()
+        for run in runs:
+            seed = 42
+            for w in run:
+                seed = xxhash.xxh64_intdigest(struct.pack("<Q", xxhash.xxh64_intdigest(w.encode(), 42)), seed)
+            out.add(seed)
+        return out
+
+    def brute(text):
+        words = re.findall(r"[^\x20\x09-\x0D]+", text)
+        return {h for h in of(words, 5) if (h ^ (1 << 63)) < (1 << 64) // sketches.SCALE}, of(words, sketches.FINE) if len(words) < sketches.FEW else set()
+
+    def within(a, b):
+        if not any(a) and not any(b):
+            return 1.0
+        x, y = (a[1], b[1]) if a[1] and b[1] else (a[0], b[0])
+        return len(x & y) / len(x) if x and y else 0.0
+
+    def shown(a):
+        signed = lambda s: "".join(f"{h:016x}" for h in sorted(s, key=lambda h: h ^ (1 << 63)))
+        return signed(a[0]) + ("." + signed(a[1]) if a[1] else "")
+
+    rng = np.random.default_rng(12)
+    short = [" ".join(rng.choice([f"v{x}" for x in range(400)], int(n))) for n in rng.integers(0, 60, 200)]
+    for df in (docs.filter("doc_id < 60"), spark.createDataFrame(list(enumerate(short)), "doc_id long, text string")):
+        texts = [r["text"] or "" for r in df.orderBy("doc_id").collect()]
+        found = sorted(collected(sketches.compare_neighbours(df)), key=lambda r: r["doc_id"])
+        for k, (r, t) in enumerate(zip(found, texts, strict=True)):
+            after, n = texts[(k + 1) % len(texts)], len(t) // 4
+            own, edited, following = brute(t), brute(t[: len(t) - n] + after[:n]), brute(after)
+            assert r["fingerprint"] == shown(own) and r["edited_fingerprint"] == shown(edited)
+            assert r["near_edited"] == pytest.approx(max(within(own, edited), within(edited, own))) and r["near_next"] == pytest.approx(max(within(own, following), within(following, own)))
+    few = [(r["near_edited"], r["near_next"]) for r, t in zip(found, texts, strict=True) if len(t.split()) >= 6]
+    assert sum(a > b for a, b in few) >= 0.98 * len(few)
+
+
 def test_sketches_merge(spark):
     from pyspark.sql import functions as F
 
