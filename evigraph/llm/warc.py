@@ -1,29 +1,30 @@
 """WARC archives: writing captures, reading records, and assembling transactions through concurrent-to identifiers.
 
 A record ends with two line breaks, so Spark's text sink with that separator writes valid archives to any store it knows, under
-its own commit protocol. They are read back whole, by length, never by separator.
+its own commit protocol. They are read as a stream: the text source hands on the bytes between separators, which are put
+together again and cut by the records' lengths, so that no task holds more than a record and a batch.
 """
 
 from __future__ import annotations
 
 import hashlib
-import uuid
-import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from evigraph.llm.common import cut, record_batch, shared_dir, table
+from evigraph.llm.common import Scratch, cut, record_batch, table
 
 CRLF = "\r\n"
+SEPARATOR = b"\r\n\r\n"
 #: Fixed values of the format.
 VERSION = "WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MAIN = ("response", "revisit", "resource")
-#: The date of all records, so that reruns write the same archives; the smallest payload that may be revisited; the captures in a file, which a reader holds whole; the salts that split a payload's copies.
+#: The date of all records, so that reruns write the same archives; the smallest payload that may be revisited; the captures in a file; the salts that split a payload's copies.
 DATE = "2024-01-01T00:00:00Z"
 LEAST = 1000
 FILE_ROWS = 1500
@@ -76,22 +77,10 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", pay
 
 
 def write(pages: DataFrame, path: str, **columns) -> None:
-    """Writes the records of pages as gzip archives below path. A file has few enough captures to be read whole."""
+    """Writes the records of pages as gzip archives below path."""
     records(pages, **columns).write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", 3 * FILE_ROWS).text(path)
 
 
-def unzip(data: bytes) -> bytes:
-    """All members of a gzip file; other data as they are."""
-    if data[:2] != b"\x1f\x8b":
-        return data
-    out = []
-    while data:
-        z = zlib.decompressobj(31)
-        out.append(z.decompress(data) + z.flush())
-        data = z.unused_data
-    return b"".join(out)
-
-
 def fields(head: bytes) -> list[tuple[str, str]]:
     """Names, in lower case, and values; lines that go on are joined."""
     out: list[tuple[str, str]] = []
@@ -104,19 +93,35 @@ def fields(head: bytes) -> list[tuple[str, str]]:
     return out
 
 
-def parse(data: bytes) -> Iterator[dict]:
-    """The records of an archive, in order. A record that is cut short, or bytes that start none, raise ValueError."""
-    at = 0
-    while at < len(data):
-        end = data.find(b"\r\n\r\n", at)
-        if data[at : at + 5] != b"WARC/" or end < 0:
-            raise ValueError(f"no record at byte {at}")
-        head = fields(data[data.index(b"\r\n", at) + 2 : end])
+def parse(chunks: Iterable[bytes]) -> Iterator[dict]:
+    """The records of an archive that comes in chunks, in order. A record that is cut short, or bytes that start none, raise ValueError."""
+    chunks, held, at, begins = iter(chunks), bytearray(), 0, 0
+
+    def more() -> bool:
+        chunk = next(chunks, None)
+        held.extend(chunk or b"")
+        return chunk is not None
+
+    while True:
+        while held[at : at + 2] == CRLF.encode() or (len(held) - at < 2 and more()):
+            at += 2 * (held[at : at + 2] == CRLF.encode())
+        del held[:at]
+        begins, at, end, tried = begins + at, 0, -1, 0
+        if not held:
+            return
+        while held[:5] == b"WARC/"[: len(held)] and (end := held.find(b"\r\n\r\n", tried)) < 0:
+            tried = max(0, len(held) - 3)
+            if not more():
+                break
+        if end < 0:
+            raise ValueError(f"no record at byte {begins}")
+        head = fields(bytes(held[held.index(b"\r\n") + 2 : end]))
         first = dict(reversed(head))
-        size = int(first["content-length"])
-        block = data[end + 4 : end + 4 + size]
-        if len(block) < size:
-            raise ValueError(f"the record at byte {at} is cut short")
+        at = end + 4 + int(first["content-length"])
+        while len(held) < at:
+            if not more():
+                raise ValueError(f"the record at byte {begins} is cut short")
+        block = bytes(held[end + 4 : at])
         kind, body = first.get("content-type", ""), block
         if kind.startswith("application/http"):
             body = block.partition(b"\r\n\r\n")[2]
@@ -125,43 +130,47 @@ def parse(data: bytes) -> Iterator[dict]:
             "concurrent_to": [v for k, v in head if k == "warc-concurrent-to"], "refers_to": first.get("warc-refers-to"), "digest": first.get("warc-payload-digest"),
             "fields": fields(block) if kind.startswith("application/warc-fields") else [], "payload": body, "payload_bytes": len(body), "payload_sha1": hashlib.sha1(body).hexdigest(),
         }
-        at = end + 4 + size
-        while data[at : at + 2] == b"\r\n":
-            at += 2
 
 
 RECORD = "record_id string, warc_type string, target_uri string, date string, concurrent_to array<string>, refers_to string, digest string, fields map<string,string>, payload binary, payload_bytes long, payload_sha1 string"
 
 
+#: Records, or bytes of payload, that a task gathers before it hands them on.
+BATCH, BATCH_BYTES = 500, 16 << 20
+
+
 def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
-    """A row for each record of the archives below path. Without payloads their column is null, but bytes and digest are theirs."""
+    """A row for each record of the archives (*.warc.gz, *.txt.gz: any *.gz) below path. Without payloads their column is null, but bytes and digest are theirs.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for content in batch.column(0):
-                rows = []
-                for r in parse(unzip(content.as_py())):
-                    rows.append(r if payloads else r | {"payload": None})
-                    if len(rows) == 500:
-                        yield batch_of(rows)
-                        rows = []
-                if rows:
-                    yield batch_of(rows)
+    An archive that is compressed isn't split, so a task has its parts one after the other. Empty archives give no rows."""
 
     def batch_of(rows: list[dict]) -> pa.RecordBatch:
         text = dict.fromkeys(("record_id", "warc_type", "target_uri", "date", "refers_to", "digest", "payload_sha1"), pa.string())
         types = text | {"concurrent_to": pa.list_(pa.string()), "fields": pa.map_(pa.string(), pa.string()), "payload": pa.binary(), "payload_bytes": pa.int64()}
         return record_batch({k: (types[k], [list(dict(r[k]).items()) if k == "fields" else r[k] for r in rows]) for k in (x.split()[0] for x in RECORD.split(", "))})
 
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.gz").load(path)
-    return found.select("content").mapInArrow(run, RECORD)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = ((name, part) for batch in batches for name, part in zip(batch.column(0).to_pylist(), batch.column(1), strict=True))
+        for _, own in groupby(parts, key=lambda x: x[0]):
+            rows, size = [], 0
+            for r in parse(x for _, part in own for x in (part.as_py(), SEPARATOR)):
+                rows.append(r if payloads else r | {"payload": None})
+                size += r["payload_bytes"] if payloads else 0
+                if len(rows) == BATCH or size >= BATCH_BYTES:
+                    yield batch_of(rows)
+                    rows, size = [], 0
+            if rows:
+                yield batch_of(rows)
+
+    found = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.gz").option("lineSep", SEPARATOR.decode()).text(path)
+    return found.select("_metadata.file_path", F.col("value").cast("binary")).mapInArrow(run, RECORD)
 
 
-def captures(found: DataFrame, hops: int = 2) -> DataFrame:
+def captures(found: DataFrame) -> DataFrame:
     """Transactions: one row (capture_id, main, request, metadata) for each response, revisit or resource record.
 
     A record belongs to the main record that it names in WARC-Concurrent-To, or that names it, or that it reaches over
-    up to `hops` such links; of several the one with the smallest id. Of several requests of a capture the one with the
+    the fewest such links, however many; of several the one with the smallest id. Of several requests of a capture the one with the
     smallest id is kept; metadata is an array by record id. Records that reach no main record give a row each with
     a null main. Repeated record ids count once. No records: no rows. `found` is read several times: hand in rows that
     are written or checkpointed."""
@@ -171,11 +180,15 @@ def captures(found: DataFrame, hops: int = 2) -> DataFrame:
     edges = named.union(named.select("b", "a")).distinct()
     owners = thin.filter(F.col("warc_type").isin(*MAIN)).select("record_id", F.col("record_id").alias("owner")).distinct()
     rest = thin.filter(~F.col("warc_type").isin(*MAIN)).select("record_id").distinct()
-    last = owners
-    for _ in range(hops):
-        last = rest.join(edges, rest["record_id"] == edges["a"]).select("record_id", "b").join(last.select(F.col("record_id").alias("b"), "owner"), "b").groupBy("record_id").agg(F.min("owner").alias("owner"))
-        owners = owners.union(last)
-        rest = rest.join(last, "record_id", "left_anti")
+    step = lambda rest, last: rest.join(edges, rest["record_id"] == edges["a"]).select("record_id", "b").join(last.select(F.col("record_id").alias("b"), "owner"), "b").groupBy("record_id").agg(F.min("owner").alias("owner"))
+    last = step(rest, owners)
+    owners, rest = owners.union(last), rest.join(last, "record_id", "left_anti")
+    if not rest.isEmpty():  # links of links: each round is written, until none reaches on
+        edges, rest = cut(edges), cut(rest)
+        last = cut(last)
+        while not last.isEmpty() and not rest.isEmpty():
+            last = cut(step(rest, last))
+            owners, rest = owners.union(last), cut(rest.join(last, "record_id", "left_anti"))
     owners = owners.union(rest.select("record_id", F.col("record_id").alias("owner")))
     whole = F.struct(*[c for c in found.columns if c not in ("concurrent_to", "fields")], F.map_entries("fields").alias("fields"))
     owned = found.select("record_id", "warc_type", whole.alias("r")).join(owners, "record_id")
@@ -205,9 +218,9 @@ def digests(found: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/archives-{uuid.uuid4()}"
-    write(table(spark, sf_dir, "pages"), path)
-    return digests(cut(read(spark, path, payloads=False)))  # the archives are parsed once
+    scratch = Scratch(spark, "archives")
+    write(table(spark, sf_dir, "pages"), f"{scratch.path}/warc")
+    return digests(scratch.written("records", read(spark, f"{scratch.path}/warc", payloads=False).drop("payload")))  # the archives are parsed once
 
 
 SQL = """

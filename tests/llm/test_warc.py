@@ -42,10 +42,25 @@ def test_transactions_by_links(spark):
     assert got == {"m1": ("m1", "q1", ["d1"]), "m2": ("m2", "q2", ["d2", "d3"]), "m3": ("m3", None, []), "lost": (None, None, ["lost"])}
 
 
-def test_parser():
+def test_long_chains_of_links(spark):
+    r = lambda i, kind, *to: (i, kind, None, None, list(to), None, None, {}, None, 0, "")
+    rows = [r("m", "response")] + [r(f"d{k}", "metadata", f"d{k - 1}" if k else "m") for k in range(6)] + [r("x1", "metadata", "x2"), r("x2", "metadata", "x1")]
+    got = {c["capture_id"]: len(c["metadata"]) for c in warc.captures(spark.createDataFrame(rows, warc.RECORD)).collect()}
+    assert got == {"m": 6, "x1": 1, "x2": 1}
+
+
+def test_parser(spark, tmp_path):
     one = b"WARC/1.0\r\nWARC-Type: metadata\r\nWARC-Record-ID: <a>\r\nX: 1\r\n 2\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
-    data = gzip.compress(one) + gzip.compress(one)
-    assert [x["payload"] for x in warc.parse(warc.unzip(data))] == [b"abc", b"abc"]
-    for bad in (one[:-6], b"junk", one + b"junk"):
+    empty = one.replace(b"Length: 3", b"Length: 0").replace(b"abc", b"")
+    binary = one.replace(b"Length: 3", b"Length: 12").replace(b"abc", b"\xff\r\n\r\n\x00\xfeWARC/")
+    for n in (1, 2, 7, 1000):
+        data = one + empty + binary + one
+        assert [x["payload"] for x in warc.parse(data[k : k + n] for k in range(0, len(data), n))] == [b"abc", b"", b"\xff\r\n\r\n\x00\xfeWARC/", b"abc"]
+        assert not list(warc.parse([])) and not list(warc.parse([b"\r\n", b"\r\n"]))
+    for bad in (one[:-6], b"junk", one + b"junk", b"WAR", one + b"\r"):
         with pytest.raises(ValueError):
-            list(warc.parse(bad))
+            list(warc.parse([bad]))
+    (tmp_path / "a.warc.gz").write_bytes(gzip.compress(one) + gzip.compress(binary))  # a member for each record
+    (tmp_path / "b.warc.gz").write_bytes(gzip.compress(empty + one))
+    (tmp_path / "c.warc.gz").write_bytes(gzip.compress(b""))
+    assert sorted(bytes(r["payload"]) for r in warc.read(spark, str(tmp_path)).collect()) == sorted([b"abc", b"abc", b"", b"\xff\r\n\r\n\x00\xfeWARC/"])
