@@ -88,8 +88,8 @@ def overview(nodes: DataFrame, edges: DataFrame, limit: int = 48, hidden: tuple[
 
 
 def induced(edges: DataFrame, ids: DataFrame, limit: int) -> DataFrame:
-    """Edges between ids, the surest first."""
-    few = F.broadcast(ids.select("node_id").distinct())
+    """Edges between ids, the surest first. ids may be many: Spark broadcasts them only where they are small."""
+    few = ids.select("node_id").distinct()
     inner = edges.join(few, F.col("source_id") == F.col("node_id"), "left_semi").join(few, F.col("target_id") == F.col("node_id"), "left_semi")
     return inner.orderBy(F.desc("confidence"), "source_id", "relation", "target_id").limit(limit).select("source_id", "relation", "target_id", "evidence_path", F.round("confidence", 3).alias("confidence"))
 
@@ -110,7 +110,7 @@ def orphans(nodes: DataFrame, edges: DataFrame, kind: str = "external_symbol") -
 
 def owners_touching(edges: DataFrame, nodes: DataFrame, paths: DataFrame, layer: str = "@derived") -> DataFrame:
     """Paths of edges of a layer with an end in one of the paths (path)."""
-    there = nodes.join(F.broadcast(paths), "path", "left_semi").select("node_id")
+    there = nodes.join(paths, "path", "left_semi").select("node_id")
     own = edges.filter(F.startswith("evidence_path", F.lit(layer)))
     hit = own.join(there, own["source_id"] == there["node_id"], "left_semi").union(own.join(there, own["target_id"] == there["node_id"], "left_semi"))
     return hit.select("evidence_path").distinct()

@@ -69,10 +69,11 @@ def ego_graph(spark, d):
     return graph.ego(nodes(spark, d), edges(spark, d), seeds(spark))
 
 
-@query(f"with {NODES_SQL}, {EDGES_SQL.replace('edges as', 'all_edges as')}, edges as (select * from all_edges where start_line = 7), x as (select node_id, case when kind = 'part' then 'external_symbol' else kind end as kind from nodes) select node_id from x where kind = 'external_symbol' and not exists (select 1 from edges where source_id = node_id) and not exists (select 1 from edges where target_id = node_id)")
+@query(f"with {GRAPH}, x as (select node_id, case when kind = 'customer' then 'external_symbol' else kind end as kind from nodes), called as (select * from edges where relation = 'CALLS') select node_id from x where kind = 'external_symbol' and not exists (select 1 from called where source_id = node_id) and not exists (select 1 from called where target_id = node_id)")
 def orphan_nodes(spark, d):
-    n = nodes(spark, d).withColumn("kind", F.when(F.col("kind") == "part", "external_symbol").otherwise(F.col("kind")))
-    return graph.orphans(n, edges(spark, d).filter("start_line = 7")).select("node_id")
+    """Customers, taken as external symbols, without a call."""
+    n = nodes(spark, d).withColumn("kind", F.when(F.col("kind") == "customer", "external_symbol").otherwise(F.col("kind")))
+    return graph.orphans(n, edges(spark, d).filter("relation = 'CALLS'")).select("node_id")
 
 
 @query(f"""with {GRAPH}, x as (select e.*, '@derived:' || evidence_path || '/' || start_line % 10 as owner from edges e where relation = 'CALLS')
@@ -121,16 +122,15 @@ def contract_match(spark, d):
     return resolve.resolve(literal_rows(spark, CALLS, "ref string, relation string, qualified_name string"), n).select("ref", "node_id")
 
 
-@query(f"""with {GRAPH}, ext as (select 'external::' || p_partkey as node_id, p_name as name, p_brand || '.' || p_name as qualified_name from part where p_partkey % 3 = 0),
-e as (select source_id, 'DEPENDS_ON' as relation, 'external::' || l_partkey as target_id from (select 'order::' || l_orderkey as source_id, l_partkey from lineitem where l_partkey % 3 = 0)),
+@query(f"""with {GRAPH}, ext as (select 'external::' || p_partkey as node_id, p_name as name, p_brand || '.' || p_name as qualified_name from part),
+e as (select source_id, 'DEPENDS_ON' as relation, 'external::' || l_partkey as target_id from (select 'order::' || l_orderkey as source_id, l_partkey from lineitem)),
 r as (select distinct source_id, relation, qualified_name from e join ext on ext.node_id = e.target_id), q as (select lower(qualified_name) as k, min(node_id) as node_id from nodes group by 1 having count(*) = 1),
 n as (select lower(name) as k, min(node_id) as node_id from nodes group by 1 having count(*) = 1),
 x as (select source_id, coalesce(q.node_id, n.node_id) as target_id, qualified_name from r left join q on q.k = lower(qualified_name) left join n on n.k = regexp_replace(lower(qualified_name), '^.*\\.', ''))
 select distinct x.source_id, 'RESOLVED_DEPENDS_ON' as relation, target_id, '@derived:' || s.path as evidence_path, case when contains(x.qualified_name, '.') then 0.92::double else 0.78::double end as confidence from x join nodes s on s.node_id = x.source_id where target_id is not null and target_id <> x.source_id""")
 def derived_edges(spark, d):
-    third = table(spark, d, "part").filter("p_partkey % 3 = 0")
-    ext = third.select(F.concat(F.lit("external::"), F.col("p_partkey").cast("string")).alias("node_id"), F.lit("external_symbol").alias("kind"), F.col("p_name").alias("name"), F.concat("p_brand", F.lit("."), "p_name").alias("qualified_name"), F.lit(None).cast("string").alias("path"))
-    e = table(spark, d, "lineitem").filter("l_partkey % 3 = 0").select(F.concat(F.lit("order::"), F.col("l_orderkey").cast("string")).alias("source_id"), F.lit("DEPENDS_ON").alias("relation"), F.concat(F.lit("external::"), F.col("l_partkey").cast("string")).alias("target_id"))
+    ext = table(spark, d, "part").select(F.concat(F.lit("external::"), F.col("p_partkey").cast("string")).alias("node_id"), F.lit("external_symbol").alias("kind"), F.col("p_name").alias("name"), F.concat("p_brand", F.lit("."), "p_name").alias("qualified_name"), F.lit(None).cast("string").alias("path"))
+    e = table(spark, d, "lineitem").select(F.concat(F.lit("order::"), F.col("l_orderkey").cast("string")).alias("source_id"), F.lit("DEPENDS_ON").alias("relation"), F.concat(F.lit("external::"), F.col("l_partkey").cast("string")).alias("target_id"))
     return resolve.derived_edges(e, nodes(spark, d).union(ext))
 
 
