@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -58,15 +58,31 @@ class Budget:
 
 
 def greedy_pack(ranked: DataFrame, tokens: int = 2400, per_file: int = 3, used: int = 0) -> DataFrame:
-    """ranked (query, path, start_line, end_line, content, score, rank) -> the chosen rows of each query. Candidates of a query are few hundred; queries run side by side."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        b = Budget(tokens, per_file, used)
-        for x in rows.sort_values(["rank", "path", "start_line"]).to_dict("records"):
-            b.offer(x)
-        return pd.DataFrame(b.chosen, columns=[c.split()[0] for c in PACKED.split(", ")])
-
-    return ranked.select("query", "path", "start_line", "end_line", "content", "score", "rank").groupBy("query").applyInPandas(run, PACKED)
+    """ranked (query, path, start_line, end_line, content, score, rank) -> the chosen rows of each query.
+
+    However many the candidates, a task holds what is chosen and a batch of them: they come sorted, and a full budget takes none."""
+    columns = [c.split()[0] for c in PACKED.split(", ")]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        budget: Budget | None = None
+        held = None
+        for frame in frames:
+            done: list[dict] = []
+            for query, rows in frame.assign(query=frame["query"].astype(object).where(frame["query"].notna(), None)).groupby("query", sort=False, dropna=False):
+                query = query if isinstance(query, str) else None
+                if budget is None or query != held:
+                    done += budget.chosen if budget else []
+                    budget, held = Budget(tokens, per_file, used), query
+                if budget.used < tokens:
+                    for x in rows.to_dict("records"):
+                        budget.offer(x | {"query": query})
+            yield pd.DataFrame(done, columns=columns)
+        if budget:
+            yield pd.DataFrame(budget.chosen, columns=columns)
+
+    order = ["query", "rank", "path", "start_line"]
+    rows = ranked.select("query", "path", "start_line", "end_line", "content", "score", "rank").repartition("query").sortWithinPartitions(*order)
+    return rows.mapInPandas(run, PACKED)
 
 
 def budget_prefix(ranked: DataFrame, tokens: int) -> DataFrame:

@@ -254,20 +254,20 @@ def ranked_chunks(spark, d):
     """Chunks of the documents of a source as the candidates of one query for each language."""
     w = chunking.line_windows(files(spark, d), 20, 3)
     scored = w.withColumn("score", F.round(F.length("content") / (F.length("content") + 500.0), 6))
-    return scored.select(F.col("language").alias("query"), "path", "language", "start_line", "end_line", "content", "score", F.row_number().over(W.partitionBy("language").orderBy(F.desc("score"), "path", "start_line")).alias("rank")).filter("rank <= 40")
+    return scored.select(F.col("language").alias("query"), "path", "language", "start_line", "end_line", "content", "score", F.row_number().over(W.partitionBy("language").orderBy(F.desc("score"), "path", "start_line")).alias("rank"))
 
 
 RANKED = f"""{WINDOWS}, sc as (select language as query, path, language, start_line, end_line, content, round(length(content) / (length(content) + 500.0::double), 6) as score from windows),
-rk as (select *, row_number() over (partition by query order by score desc, path, start_line) as rank from sc), top40 as (select * from rk where rank <= 40)"""
+rk as (select *, row_number() over (partition by query order by score desc, path, start_line) as rank from sc)"""
 
 
-@query(f"""with {RANKED}, c as (select *, greatest(1, ceil(strlen(content) / 3.6::double))::bigint + 25 as cost from top40), u as (select *, sum(cost) over (partition by query order by rank) as used from c)
+@query(f"""with {RANKED}, c as (select *, greatest(1, ceil(strlen(content) / 3.6::double))::bigint + 25 as cost from rk), u as (select *, sum(cost) over (partition by query order by rank) as used from c)
 select query, path, start_line, rank::int as rank, used::bigint as used from u where used <= 9000""")
 def budget_prefix(spark, d):
     return packing.budget_prefix(ranked_chunks(spark, d), 9000).select("query", "path", "start_line", "rank", "used")
 
 
-@query(f"""with {RANKED}, lv as (select *, string_split(content, chr(10)) as a from top40)
+@query(f"""with {RANKED}, lv as (select *, string_split(content, chr(10)) as a from rk)
 select query, path, start_line, md5(case when rank = 1 or language = 'fr' or len(a) <= 14 then content else array_to_string(list_slice(a, 1, 14), chr(10)) || chr(10) || '... [compressed]' end) as content from lv""")
 def evidence_levels(spark, d):
     ranked = ranked_chunks(spark, d).withColumn("language", F.when(F.col("language") == "fr", "sql").otherwise(F.col("language")))

@@ -102,18 +102,31 @@ def decoded(content: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["text", "replaced"])
 
 
+def own_ignores(spark: SparkSession, root: str) -> tuple[str, ...]:
+    """The patterns of the tree's .gitignore; none where there is no such file. Spark's readers leave out hidden files, so the file is opened by the store's own client."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/.gitignore")
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(path):
+        return ()
+    stream = store.open(path)
+    try:
+        return tuple(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").splitlines())
+    finally:
+        stream.close()
+
+
 def listing(spark: SparkSession, root: str, extensions: Iterable[str] = tuple(LANGUAGES), most_bytes: int = MOST_BYTES, ignore: Iterable[str] = (), changed: Iterable[str] | None = None) -> DataFrame:
-    """(path, size_bytes, modified_at, content): files below root with a known suffix, not too large, not ignored; `changed` restricts it to some paths. Spark lists no file without bytes."""
+    """(path, size_bytes, modified_at, content): files below root with a known suffix, not too large, ignored neither by these patterns nor by the tree's own; `changed` restricts it to some paths. Spark lists no file without bytes."""
     base = root.rstrip("/")
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
     relative = F.regexp_replace("path", r"^(?:file:)?/*" + re.escape(base.lstrip("/")).replace("\\-", "-") + "/+", "")
     rows = raw.select(relative.alias("path"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified_at"), "content")
     known = [x.lower() for x in extensions]
     rows = rows.filter((F.col("size_bytes") <= most_bytes) & F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)).isin(*known))
-    rows = rows.filter(~Ignore((*ignore, *IGNORED)).udf()(F.col("path")))
+    rows = rows.filter(~Ignore((*ignore, *own_ignores(spark, base), *IGNORED)).udf()(F.col("path")))
     if changed is not None:
         wanted = spark.createDataFrame([(p,) for p in changed], "path string")
-        rows = rows.join(F.broadcast(wanted), "path", "left_semi")
+        rows = rows.join(wanted, "path", "left_semi")
     return rows
 
 

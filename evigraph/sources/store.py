@@ -41,7 +41,7 @@ def merge_edges(old: DataFrame, new: DataFrame) -> DataFrame:
 
 def delete_paths(nodes: DataFrame, edges: DataFrame, chunks: DataFrame, paths: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """What is left once files go: their nodes and chunks, all edges at those nodes, and edges that the files give evidence for; chunks lose a symbol that is gone."""
-    gone = F.broadcast(paths.select("path").distinct())
+    gone = paths.select("path").distinct()
     kept = nodes.join(gone, "path", "left_anti")
     ids = kept.select("node_id")
     left = edges.join(gone, F.col("evidence_path") == F.col("path"), "left_anti")
@@ -61,7 +61,7 @@ def replace_layer(edges: DataFrame, layer: str, new: DataFrame, owners: DataFram
     own = F.startswith("evidence_path", F.lit(layer))
     if owners is None:
         return edges.filter(~own).unionByName(new)
-    return edges.join(F.broadcast(owners.select("evidence_path").distinct()), "evidence_path", "left_anti").select(edges.columns).unionByName(new)
+    return edges.join(owners.select("evidence_path").distinct(), "evidence_path", "left_anti").select(edges.columns).unionByName(new)
 
 
 class IndexCompatibilityError(RuntimeError):

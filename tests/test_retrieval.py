@@ -144,6 +144,26 @@ def test_ignore(pattern, path, ignored):
     assert files.Ignore((pattern,)).matches(path) is ignored
 
 
+def test_the_tree_s_own_ignore_file(spark, tmp_path):
+    for name in ("a.py", "node_modules/x/b.js", "keep.log.py", "build/c.py"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("x = 1\n")
+    listed = lambda **how: {r["path"] for r in files.listing(spark, str(tmp_path), **how).select("path").collect()}
+    assert {"a.py", "node_modules/x/b.js", "build/c.py"} <= listed()
+    (tmp_path / ".gitignore").write_text("# not these\nnode_modules/\n/build\n")
+    assert listed() == {"a.py", "keep.log.py"} and listed(changed=["a.py", "build/c.py"]) == {"a.py"}
+
+
+def test_greedy_pack_reads_on(spark):
+    """Rows far beyond what fits come in later batches, and smaller ones that still fit are taken."""
+    rows = [("q", f"p{k}", 1, 9, "x" * (700 if k % 500 else 40), 1.0, k) for k in range(25_000)] + [(None, "n", 1, 2, "y", 1.0, 1)]
+    got = packing.greedy_pack(spark.createDataFrame(rows, "query string, path string, start_line int, end_line int, content string, score double, rank int"), 400).collect()
+    b = packing.Budget(400)
+    for r in rows[:25_000]:
+        b.offer(dict(zip(("query", "path", "start_line", "end_line", "content", "score", "rank"), r, strict=True)))
+    assert sorted(r["path"] for r in got if r["query"] == "q") == sorted(x["path"] for x in b.chosen) and sum(r["query"] is None for r in got) == 1
+
+
 def test_git_changes(tmp_path):
     root = str(tmp_path)
     git = lambda *a: subprocess.run(["git", "-C", root, "-c", "user.name=t", "-c", "user.email=t@t", *a], check=True, capture_output=True, text=True).stdout.strip()
