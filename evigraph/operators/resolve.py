@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from evigraph.functions.classify import production_name
@@ -80,9 +79,9 @@ def layered(edges: DataFrame, layers: DataFrame) -> DataFrame:
     """(controller, service, repository): for each controller the first service that it depends on and that depends on a repository, with the first of these."""
     of = lambda layer: layers.filter(F.col("layer") == layer).select("node_id")
     hop = lambda a, b, x, y: edges.join(of(a), F.col("source_id") == F.col("node_id"), "left_semi").join(of(b), F.col("target_id") == F.col("node_id"), "left_semi").select(F.col("source_id").alias(x), F.col("target_id").alias(y)).distinct()
-    paths = hop("controller", "service", "controller", "service").join(hop("service", "repository", "service", "repository"), "service")
-    rank = F.row_number().over(W.partitionBy("controller").orderBy("service", "repository"))
-    return paths.withColumn("n", rank).filter("n = 1").select("controller", "service", "repository")
+    first = hop("service", "repository", "service", "repository").groupBy("service").agg(F.min("repository").alias("repository"))
+    best = hop("controller", "service", "controller", "service").join(first, "service").groupBy("controller").agg(F.min(F.struct("service", "repository")).alias("b"))
+    return best.select("controller", "b.service", "b.repository")
 
 
 def reference_owners(edges: DataFrame, nodes: DataFrame, changed: DataFrame) -> DataFrame:

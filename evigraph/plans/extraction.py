@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from evigraph.extract import registry
 from evigraph.operators import chunking, resolve
+from evigraph.plans import expected
 from evigraph.plans.common import literal_rows, query
 from evigraph.plans.fixtures import FILES
 from evigraph.sources.tables import table
@@ -20,33 +21,33 @@ def edge_rows(found):
     return registry.edges(found).select("source_id", "relation", "target_id", "evidence_path", "start_line", "confidence")
 
 
-@query()
+@query(expected.sql(expected.JAVA_EXTRACT))
 def java_extract(spark, d):
     return edge_rows(facts(spark, ".java"))
 
 
-@query()
+@query(expected.sql(expected.GENERIC_EXTRACT))
 def generic_extract(spark, d):
     return registry.nodes(facts(spark, ".py", ".ts", ".go")).filter("path is not null").select("node_id", "kind", "qualified_name", "start_line")
 
 
-@query()
+@query(expected.sql(expected.CONFIG_EXTRACT))
 def config_extract(spark, d):
     return edge_rows(facts(spark, ".yml", ".properties"))
 
 
-@query()
+@query(expected.sql(expected.WEB_CONTRACTS))
 def web_contracts(spark, d):
     return edge_rows(facts(spark)).filter("relation in ('EXPOSES_ENDPOINT', 'CALLS_ENDPOINT')")
 
 
-@query()
+@query(expected.sql(expected.RESOLVED_FIXTURE))
 def resolved_fixture(spark, d):
     found = facts(spark)
     return resolve.derived_edges(registry.edges(found), registry.nodes(found).dropDuplicates(["node_id"])).select("source_id", "relation", "target_id", "confidence")
 
 
-@query()
+@query(expected.sql(expected.SYMBOL_WINDOWS))
 def symbol_windows(spark, d):
     found = facts(spark, ".java", ".py")
     symbols = registry.nodes(found).filter("path is not null and kind in ('class', 'method')").select("path", F.col("node_id").alias("symbol_id"), "kind", "name", "start_line", "end_line")

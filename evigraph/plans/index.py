@@ -87,7 +87,7 @@ def scan(spark: SparkSession, root: str, index: store.Store, ignore: Iterable[st
         kept_nodes = index.read("nodes")
         raw = index.read("edges").filter(~F.startswith("evidence_path", F.lit("@derived")))
         nodes, _, chunks = store.delete_paths(kept_nodes, raw, index.read("chunks"), gone)
-        edges = raw.join(F.broadcast(gone), F.col("evidence_path") == F.col("path"), "left_anti")
+        edges = raw.join(gone.distinct(), F.col("evidence_path") == F.col("path"), "left_anti")
         hashes = index.read("files").select("path", "content_hash", "language").join(gone, "path", "left_anti").unionByName(good)
     seq = parts["nodes"].withColumn("seq", F.xxhash64("node_id", "path", "metadata"))
     nodes = store.merge_nodes(nodes if nodes is not None else parts["nodes"].limit(0), seq)
