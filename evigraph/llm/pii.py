@@ -37,10 +37,14 @@ LOCAL = re.compile(r"(?<![\w+.-])(?:\([0-9]{2,5}\)[\x20-]?|[0-9]{2,5}[\x20./-])[
 DIGIT = re.compile(r"[0-9]")
 SSN = re.compile(r"(?<![\w.-])([0-9]{3})-([0-9]{2})-([0-9]{4})(?![\w.-]*[0-9])")
 #: Proposals for secrets: a value in quotes after a name and a sign, forms that issuers publish, and long runs.
-SET = re.compile(r"(?i:password|passwd|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential)s?[\"']?\s*(?::=|=>|[:=])\s*([\"'])([^\s\"']{6,200})\1")
+SET = re.compile(r"(?i:passw|passp|pwd|secret|token|key|credential)[a-z]{0,6}[\"']?\s*(?::=|=>|[:=])\s*([\"'])([^\s\"']{6,200})\1")
 FORM = re.compile(r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})(?![A-Za-z0-9])")
 RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}+={0,2}(?![A-Za-z0-9+/_=-])")
 MIXED, LONGEST_RUN = 3.0, 512
+#: No published form and no long run is shorter, and none holds white space.
+SHORTEST = 15
+HINT = re.compile(r"[0-9]|AKIA|xox|gh[pousr]_|eyJ")
+LONG = re.compile(rf"(?<!\S)\S{{{SHORTEST},}}+")
 
 #: Words that, near a span, raise its score. Fixed values.
 CONTEXT = {
@@ -99,13 +103,20 @@ def mixed(run: str) -> bool:
 
 def secrets(text: str) -> Iterator[tuple[int, int, bool]]:
     """Starts and ends, and whether the form alone tells, of values set to a name, published forms and mixed runs."""
-    for m in SET.finditer(text):
-        yield *m.span(2), True
-    for m in FORM.finditer(text):
-        yield *m.span(), True
-    for m in RUN.finditer(text):
-        if mixed(m[0].rstrip("=")):
-            yield *m.span(), False
+    if ("=" in text or ":" in text) and ('"' in text or "'" in text):
+        for m in SET.finditer(text):
+            yield *m.span(2), True
+    if any(len(w) >= SHORTEST and HINT.search(w) for w in text.split()):
+        yield from runs(text)
+
+
+def runs(text: str) -> Iterator[tuple[int, int, bool]]:
+    for m in LONG.finditer(text):
+        for x in FORM.finditer(text, *m.span()):
+            yield *x.span(), True
+        for x in RUN.finditer(text, *m.span()):
+            if mixed(x[0].rstrip("=")):
+                yield *x.span(), False
 
 
 def emails(text: str) -> Iterator[tuple[int, int]]:
