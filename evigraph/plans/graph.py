@@ -69,10 +69,10 @@ def ego_graph(spark, d):
     return graph.ego(nodes(spark, d), edges(spark, d), seeds(spark))
 
 
-@query(f"with {GRAPH}, x as (select node_id, case when kind = 'customer' then 'external_symbol' else kind end as kind from nodes), called as (select * from edges where relation = 'CALLS') select node_id from x where kind = 'external_symbol' and not exists (select 1 from called where source_id = node_id) and not exists (select 1 from called where target_id = node_id)")
+@query(f"with {GRAPH}, x as (select node_id, case when kind in ('customer', 'part') then 'external_symbol' else kind end as kind from nodes), called as (select * from edges where relation = 'CALLS') select node_id from x where kind = 'external_symbol' and not exists (select 1 from called where source_id = node_id) and not exists (select 1 from called where target_id = node_id)")
 def orphan_nodes(spark, d):
-    """Customers, taken as external symbols, without a call."""
-    n = nodes(spark, d).withColumn("kind", F.when(F.col("kind") == "customer", "external_symbol").otherwise(F.col("kind")))
+    """Of customers and parts, taken as external symbols, those without a call."""
+    n = nodes(spark, d).withColumn("kind", F.when(F.col("kind").isin("customer", "part"), "external_symbol").otherwise(F.col("kind")))
     return graph.orphans(n, edges(spark, d).filter("relation = 'CALLS'")).select("node_id")
 
 
