@@ -2,7 +2,7 @@
 
 Words are counted over all training texts. The model's symbols are the most frequent words, one for all other words
 (whose counts then tell them apart), and a text's end. Baum-Welch counts of each partition are added up to train the latent
-states; the scaled forward recursion gives the exact likelihood of each whole text.
+states, over all training texts and alike at every size; the scaled forward recursion gives the exact likelihood of each whole text.
 """
 
 from __future__ import annotations
@@ -17,12 +17,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evigraph.llm.common import binary, cut, record_batch, row_hash, slices, table
+from evigraph.llm.common import Scratch, binary, cut, record_batch, row_hash, slices, table
 
 #: Latent states, words with a symbol of their own, and words whose counts go to every task; all bound what is sent.
 STATES, SYMBOLS, HEAD = 6, 16_384, 131_072
-#: Rounds over all training texts, after rounds on about START_TOKENS of them that only find a starting point.
-ROUNDS, START_ROUNDS, START_TEXTS, START_TOKENS = 2, 15, 2_000, 400_000
+#: Stepwise Baum-Welch goes once through all training texts, dealt by hash of their id into PARTS parts, and renews the
+#: model after each; ROUNDS rounds over all of them follow. The k-th part's counts have weight (k + 2) ** -DECAY.
+PARTS, ROUNDS, DECAY = 16, 2, 0.7
 #: A word has no space, so this key is free for the end.
 END = b" "
 PRIOR, SEED = 10.0, 7
@@ -184,64 +185,69 @@ def frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
     return sorted(zip(found.column("word").to_pylist(), found.column("n").to_pylist(), strict=True), key=lambda r: (-r[1], r[0]))
 
 
-def train(texts: DataFrame, words: Words, states: int = STATES, rounds: int = ROUNDS, start: DataFrame | None = None) -> Model:
-    """Baum-Welch over all texts; start: a few of them, in one partition, for the starting point."""
-    unigram = words.unigram()
-    model = first_model(unigram, states)
+def encoded(texts: DataFrame, words: Words) -> DataFrame:
+    """texts (part, text) -> (part, symbols): each text as 16-bit numbers of its words' symbols and the end's."""
 
-    def sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[None, np.ndarray]]:
-        get, other = words.numbers().get, len(unigram) - 2
-        for batch in slices(batches, 0):
-            for x in binary(batch.column(0)):
-                yield None, np.array([*[get(w, other) for w in tokens(x)], other + 1], np.int32)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = words.numbers()
+        get, other = numbers.get, len(numbers)
+        for batch in slices(batches, 1):
+            coded = [np.array([*[get(w, other) for w in tokens(x)], other + 1], np.uint16).tobytes() for x in binary(batch.column(1))]
+            yield record_batch({"part": (pa.int32(), batch.column(0)), "symbols": (pa.binary(), coded)})
 
-    def rows(found: tuple[np.ndarray, ...]) -> pa.RecordBatch:
-        flat = np.concatenate([found[0][None], found[1], found[2]])
-        at = np.flatnonzero(flat.any(1))
-        return record_batch({"at": (pa.int32(), at), **{f"n{k}": (pa.float64(), flat[at, k]) for k in range(states)}})
+    return texts.mapInArrow(run, "part int, symbols binary")
 
-    schema = "at int, " + ", ".join(f"n{k} double" for k in range(states))
 
-    def gathered(df: DataFrame) -> np.ndarray:
-        """A row for the start, one for each state and one for each symbol."""
-        total = df.groupBy("at").agg(*[F.sum(f"n{k}").alias(f"n{k}") for k in range(states)]).toArrow()
-        out = np.zeros((1 + states + len(unigram), states))
-        out[total.column("at").to_numpy()] = np.stack([total.column(f"n{k}").to_numpy() for k in range(states)], axis=1)
-        return out
+def train(texts: DataFrame, words: Words, states: int = STATES, rounds: int = ROUNDS, parts: int = PARTS) -> Model:
+    """Baum-Welch over texts (doc_id, text): stepwise through all parts, then rounds over all texts.
 
-    if start is not None:
-
-        def warm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            some, size = [], 0
-            for _, x in sequences(batches):
-                some.append(x)
-                size += len(x)
-                if size > START_TOKENS:
-                    break
-            m, batch = model, Batch(some)
-            found = tuple(np.zeros(s) for s in (states, (states, states), (len(unigram), states)))
-            for _ in range(START_ROUNDS if some else 0):
-                found = batch.expect(m)
-                m = improved(m, *found, unigram)
-            yield rows(found)
-
-        found = gathered(start.mapInArrow(warm, schema))
-        model = improved(model, found[0], found[1 : 1 + states], found[1 + states :], unigram)
-    for _ in range(rounds):
+    Texts are turned into symbols once, in the shared folder, one folder a part, so that a step reads its own part alone.
+    A part without a text changes nothing."""
+    unigram = words.unigram()
+    if len(unigram) > 1 << 16:
+        raise ValueError("symbols have 16 bits")
+    model, held = first_model(unigram, states), None
+    scratch = Scratch(texts.sparkSession, "hmm")
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int").alias("part")
+    encoded(texts.select(part, "text"), words).write.partitionBy("part").parquet(f"{scratch.path}/symbols")
+    symbols = texts.sparkSession.read.schema("symbols binary, part int").parquet(f"{scratch.path}/symbols")
+    schema = "at int, " + ", ".join(f"n{k} double" for k in range(states))
 
-        def step(batches: Iterator[pa.RecordBatch], m: Model = model) -> Iterator[pa.RecordBatch]:
+    def expected(df: DataFrame, m: Model) -> np.ndarray:
+        """Counts over all partitions: a row for the start, one for each state and one for each symbol."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = [np.zeros(s) for s in (states, (states, states), (len(unigram), states))]
-            for _, group in grouped(sequences(batches)):
+            rows = ((None, np.frombuffer(x, np.uint16)) for batch in slices(batches, 0) for x in batch.column(0).to_pylist())
+            for _, group in grouped(rows):
                 for a, b in zip(total, Batch(group).expect(m), strict=True):
                     a += b
-            yield rows(tuple(total))
+            flat = np.concatenate([total[0][None], total[1], total[2]])
+            at = np.flatnonzero(flat.any(1))
+            yield record_batch({"at": (pa.int32(), at), **{f"n{k}": (pa.float64(), flat[at, k]) for k in range(states)}})
+
+        found = df.select("symbols").mapInArrow(run, schema).groupBy("at").agg(*[F.sum(f"n{k}").alias(f"n{k}") for k in range(states)]).toArrow()
+        out = np.zeros((1 + states + len(unigram), states))
+        if found.num_rows:
+            out[found.column("at").to_numpy()] = np.stack([found.column(f"n{k}").to_numpy() for k in range(states)], axis=1)
+        return out
 
-        found = gathered(texts.mapInArrow(step, schema))
-        model = improved(model, found[0], found[1 : 1 + states], found[1 + states :], unigram)
+    def renewed(n: np.ndarray) -> Model:
+        return improved(model, n[0], n[1 : 1 + states], n[1 + states :], unigram)
+
+    for k in range(parts):
+        new = expected(symbols.filter(F.col("part") == k), model)
+        if new.any():
+            weight = (k + 2) ** -DECAY
+            held = new if held is None else (1 - weight) * held + weight * new
+            model = renewed(held)
+    for _ in range(rounds):
+        model = renewed(expected(symbols, model))
+    scratch.drop("symbols")
     return model
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", states: int = STATES, symbols: int = SYMBOLS, head: int = HEAD, rounds: int = ROUNDS) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", states: int = STATES, symbols: int = SYMBOLS, head: int = HEAD, rounds: int = ROUNDS, parts: int = PARTS) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of docs.
 
     Learns from the rows whose crc32(id) mod 7 is not 2. Null and empty texts are an end alone. A word beyond the head gets
@@ -254,10 +260,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", state
     sums = counts.agg(F.sum("n").alias("n"), F.count(F.when(F.col("n") > 0, 1)).alias("v"), F.sum(F.when(F.col("word") == END, F.col("n"))).alias("ends")).first()
     top = frequent(counts.filter((F.col("word") != END) & (F.col("n") > 0)), head)
     words = Words(sums["n"] or 0, sums["v"] or 0, sums["ends"] or 0, [w for w, _ in top], [n for _, n in top], symbols)
-    share = min(1.0, START_TEXTS / max(1, words.ends))
-    drawn = training.withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))).filter(F.col("h") < share * (1 << 30))
-    start = drawn.repartition(1).sortWithinPartitions("h", "doc_id", "text").select("text")
-    model = train(training.select("text"), words, states, rounds, start)
+    model = train(training.select("doc_id", "text"), words, states, rounds, parts)
     other_tokens, other_words = words.other()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

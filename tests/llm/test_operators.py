@@ -546,6 +546,40 @@ def test_hmm_base_score(awkward, empty, docs, head):
     assert not collected(hmm.score(empty))
 
 
+def test_hmm_training_covers_all_texts(docs, empty):
+    """Stepwise rounds and whole rounds against the same in numpy; a part without texts changes nothing."""
+    from pyspark.sql import functions as F
+
+    parts, states = 5, 3
+    rows = [(r["p"], hmm.tokens((r["text"] or "").encode())) for r in docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(parts)).alias("p"), "text").filter("p <> 3").collect()]
+    counts = Counter(w for _, t in rows for w in [*t, hmm.END])
+    head = sorted((w for w in counts if w != hmm.END), key=lambda w: (-counts[w], w))[:50]
+    words = hmm.Words(sum(counts.values()), len(counts), counts[hmm.END], head, [counts[w] for w in head], 50)
+    number = {w: k for k, w in enumerate(head)}
+    coded = [(p, np.array([*[number.get(w, 50) for w in t], 51])) for p, t in rows]
+    unigram = words.unigram()
+
+    def expected(some, m):
+        return np.concatenate([x.reshape(-1, states) for x in hmm.Batch(some).expect(m)])
+
+    def renewed(m, n):
+        return hmm.improved(m, n[0], n[1 : 1 + states], n[1 + states :], unigram)
+
+    m, held = hmm.first_model(unigram, states), None
+    for k in (0, 1, 2, 4):
+        new = expected([x for p, x in coded if p == k], m)
+        weight = (k + 2) ** -hmm.DECAY
+        held = new if held is None else (1 - weight) * held + weight * new
+        m = renewed(m, held)
+    m = renewed(m, expected([x for _, x in coded], m))
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(parts))
+    found = hmm.train(docs.filter(part != 3).select("doc_id", "text"), words, states, 1, parts)
+    for a, b in zip((found.start, found.move, found.emit), (m.start, m.move, m.emit), strict=True):
+        assert a == pytest.approx(b)
+    nothing = hmm.train(empty.select("doc_id", "text"), hmm.Words(0, 0, 0, [], []), states)
+    assert nothing.start.sum() == pytest.approx(1) and nothing.emit.sum(0) == pytest.approx(np.ones(states))
+
+
 def test_hmm_groups_change_nothing(docs, monkeypatch):
     one = {r["doc_id"]: r["score"] for r in collected(hmm.score(docs, rounds=1))}
     plain = hmm.grouped
