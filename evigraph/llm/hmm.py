@@ -24,6 +24,8 @@ STATES, SYMBOLS, HEAD = 6, 16_384, 131_072
 #: Stepwise Baum-Welch goes once through all training texts, dealt by hash of their id into PARTS parts, and renews the
 #: model after each; ROUNDS rounds over all of them follow. The k-th part's counts have weight (k + 2) ** -DECAY.
 PARTS, ROUNDS, DECAY = 16, 2, 0.7
+#: Symbols that a training task takes, if there are that many for each core: the recursions of long texts then run side by side.
+TASK_SYMBOLS = 4_000_000
 #: A word has no space, so this key is free for the end.
 END = b" "
 PRIOR, SEED = 10.0, 7
@@ -213,8 +215,9 @@ def train(texts: DataFrame, words: Words, states: int = STATES, rounds: int = RO
     symbols = texts.sparkSession.read.schema("symbols binary, part int").parquet(f"{scratch.path}/symbols")
     schema = "at int, " + ", ".join(f"n{k} double" for k in range(states))
 
-    def expected(df: DataFrame, m: Model) -> np.ndarray:
-        """Counts over all partitions: a row for the start, one for each state and one for each symbol."""
+    def expected(df: DataFrame, m: Model, share: float = 1.0) -> np.ndarray:
+        """Counts over all partitions: a row for the start, one for each state and one for each symbol. df holds about that share of the symbols."""
+        tasks = max(df.sparkSession.sparkContext.defaultParallelism, int(share * words.total / TASK_SYMBOLS))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = [np.zeros(s) for s in (states, (states, states), (len(unigram), states))]
@@ -226,7 +229,7 @@ def train(texts: DataFrame, words: Words, states: int = STATES, rounds: int = RO
             at = np.flatnonzero(flat.any(1))
             yield record_batch({"at": (pa.int32(), at), **{f"n{k}": (pa.float64(), flat[at, k]) for k in range(states)}})
 
-        found = df.select("symbols").mapInArrow(run, schema).groupBy("at").agg(*[F.sum(f"n{k}").alias(f"n{k}") for k in range(states)]).toArrow()
+        found = df.select("symbols").coalesce(tasks).mapInArrow(run, schema).groupBy("at").agg(*[F.sum(f"n{k}").alias(f"n{k}") for k in range(states)]).toArrow()
         out = np.zeros((1 + states + len(unigram), states))
         if found.num_rows:
             out[found.column("at").to_numpy()] = np.stack([found.column(f"n{k}").to_numpy() for k in range(states)], axis=1)
@@ -236,7 +239,7 @@ def train(texts: DataFrame, words: Words, states: int = STATES, rounds: int = RO
         return improved(model, n[0], n[1 : 1 + states], n[1 + states :], unigram)
 
     for k in range(parts):
-        new = expected(symbols.filter(F.col("part") == k), model)
+        new = expected(symbols.filter(F.col("part") == k), model, 1 / parts)
         if new.any():
             weight = (k + 2) ** -DECAY
             held = new if held is None else (1 - weight) * held + weight * new
