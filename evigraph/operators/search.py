@@ -22,11 +22,11 @@ def postings(docs: DataFrame, key: str, columns: list[str]) -> DataFrame:
 
 
 def lengths(docs: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """(doc, dl): the words of all columns."""
-    total = F.lit(0)
-    for c in columns:
-        total = total + F.size(index_tokens(F.coalesce(F.col(c).cast("string"), F.lit(""))))
-    return docs.select(F.col(key).alias("doc"), total.alias("dl"))
+    """(doc, dl, digest): the words of all columns, and a hash of what they hold."""
+    total, texts = F.lit(0), [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]
+    for t in texts:
+        total = total + F.size(index_tokens(t))
+    return docs.select(F.col(key).alias("doc"), total.alias("dl"), F.xxhash64(*texts).alias("digest"))
 
 
 def write_index(docs: DataFrame, key: str, columns: list[str], path: str, parts: int = 64) -> None:
@@ -35,6 +35,23 @@ def write_index(docs: DataFrame, key: str, columns: list[str], path: str, parts:
     lengths(docs, key, columns).write.mode("overwrite").parquet(f"{path}/lengths")
 
 
+def chunk_docs(chunks: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Chunks with the columns that are searched: their symbol's name, and their tags as words."""
+    names = nodes.select(F.col("node_id").alias("symbol_id"), F.col("qualified_name").alias("symbol"))
+    return chunks.join(names, "symbol_id", "left").withColumn("tags", F.array_join("tags", " "))
+
+
+def refreshed(docs: DataFrame, key: str, columns: list[str], old: tuple[DataFrame, DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(postings, lengths) of docs. Of a document that old has with the same contents the old rows are taken, and its text isn't split."""
+    if old is None:
+        return postings(docs, key, columns), lengths(docs, key, columns)
+    posted, sizes = old
+    digest = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
+    same = docs.select(F.col(key).alias("doc"), digest.alias("digest")).join(sizes, ["doc", "digest"], "left_semi").select("doc")
+    new = docs.join(same, F.col(key) == F.col("doc"), "left_anti")
+    return tuple(kept.join(same, "doc", "left_semi").unionByName(made(new, key, columns)) for kept, made in ((posted, postings), (sizes, lengths)))
+
+
 def phrases(queries: DataFrame, most: int = 20) -> DataFrame:
     """queries (query, text) -> (query, phrase, k, tok, size): the words that the index has for each token of the query; a token that it splits is a phrase."""
     raw = F.regexp_extract_all(casefold(F.col("text")), F.lit(r"([\p{L}\p{N}_.\-]+)"), F.lit(1))
@@ -113,6 +130,13 @@ def search(docs: DataFrame, key: str, weights: dict[str, float], queries: DataFr
     return top(bm25(posted, kept.select("doc", "dl"), wanted, weights), limit)
 
 
+def search_stored(posted: DataFrame, sizes: DataFrame, weights: dict[str, float], queries: DataFrame, limit: int = 20) -> DataFrame:
+    """The same from stored postings, sorted by word: the scan gets the words of the queries as a filter, so it reads the row groups that hold them."""
+    wanted = phrases(queries)
+    few = sorted({r["tok"] for r in wanted.select("tok").collect()})  # at most 20 tokens a query
+    return top(bm25(posted.filter(F.col("tok").isin(few)), sizes, wanted, weights), limit)
+
+
 def node_score(norm: Column) -> Column:
     """What a node that only full text finds is worth."""
     return F.lit(0.6) + F.lit(0.1) * norm

@@ -56,8 +56,10 @@ def candidates(index: store.Store, task: str, persona: personas.Persona, walk: b
     in_file = chunks.join(F.broadcast(seeds.select("path").distinct()), "path", "left_semi").select("chunk_id", F.lit(fusion.SAME_FILE).alias("score"))
     exact = in_symbol.union(in_file).groupBy("chunk_id").agg(F.max("score").alias("score")).orderBy(F.desc("score"), "chunk_id").limit(MOST_EXACT_CHUNKS)
     rows = exact.select("chunk_id", F.lit(0).alias("channel_order"), F.lit("exact-symbol").alias("reason"), "score", none.alias("distance"))
-    flat = chunks.withColumn("tags", F.array_join("tags", " "))
-    words = search.search(flat, "chunk_id", search.CHUNK_WEIGHTS, asked, TOP_LEXICAL)
+    if "postings" in index.manifest().get("tables", []):
+        words = search.search_stored(index.read("postings"), index.read("lengths"), search.CHUNK_WEIGHTS, asked, TOP_LEXICAL)
+    else:
+        words = search.search(search.chunk_docs(index.read("chunks"), nodes), "chunk_id", search.CHUNK_WEIGHTS, asked, TOP_LEXICAL)
     rows = rows.union(words.select(F.col("doc"), F.lit(1), F.concat(F.lit("fts-rank-"), F.col("rank").cast("string")), F.col("lexical"), none))
     if walk and persona.policy.graph_depth:
         found = graph.graph_walk(edges, seeds.select("node_id"), list(persona.policy.traverse_relations) or None, min(2, persona.policy.graph_depth), MOST_NODES)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from evigraph.extract import registry
 from evigraph.functions.classify import frameworks, generic_layer
-from evigraph.operators import chunking, graph, resolve
+from evigraph.operators import chunking, graph, resolve, search
 from evigraph.sources import files, store
 
 VERSION = "1"
@@ -99,8 +99,11 @@ def scan(spark: SparkSession, root: str, index: store.Store, ignore: Iterable[st
     edges = edges.join(ends, F.col("source_id") == F.col("node_id"), "left_semi").join(ends, F.col("target_id") == F.col("node_id"), "left_semi")
     edges = index.stage("edges", edges)
     whole = index.stage("whole", edges.unionByName(derive(nodes, edges)))
+    chunks = index.stage("chunks", chunks)
+    had = None if fresh or "postings" not in m.get("tables", []) else (index.read("postings"), index.read("lengths"))
+    posted, sizes = search.refreshed(search.chunk_docs(chunks, nodes), "chunk_id", list(search.CHUNK_WEIGHTS), had)
     table = now.join(hashes, "path")
-    n = index.publish({"files": table, "nodes": nodes, "edges": whole, "chunks": chunks}, {"commit": head, "dirty": dirty, "settings": settings, "degraded": bool(failed), "failed": [r["path"] for r in failed]})
+    n = index.publish({"files": table, "nodes": nodes, "edges": whole, "chunks": chunks, "postings": posted, "lengths": sizes}, {"commit": head, "dirty": dirty, "settings": settings, "degraded": bool(failed), "failed": [r["path"] for r in failed]})
     counts = {r["change"]: r["count"] for r in changes.groupBy("change").count().collect()}
     index.clear_stages()
     for df in (now, changes, read, parts["facts"]):

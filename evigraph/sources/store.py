@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 EDGE_KEY = ("source_id", "relation", "target_id", "evidence_path", "start_line")
-TABLES = ("files", "nodes", "edges", "chunks", "metrics")
+TABLES = ("files", "nodes", "edges", "chunks", "postings", "lengths", "metrics")
 
 
 def snapshot_diff(old: DataFrame, new: DataFrame, key: str = "path", compare: tuple[str, ...] = ("size", "mtime")) -> DataFrame:
@@ -109,14 +109,17 @@ class Store:
         return self.spark.read.parquet(f"{self.path}/gen={n}/{table}")
 
     def publish(self, tables: dict[str, DataFrame], metadata: dict | None = None) -> int:
-        """Writes a generation; tables that aren't given are carried over. Returns its number."""
+        """Writes a generation; tables that aren't given are carried over, but for postings of chunks that are. Returns its number."""
         m = self.manifest()
         n = m["generation"] + 1
-        whole = {t: tables[t] if t in tables else self.read(t) for t in TABLES if t in tables or t in m.get("tables", [])}
+        carried = set(m.get("tables", [])) - ({"postings", "lengths"} if "chunks" in tables else set())
+        whole = {t: tables[t] if t in tables else self.read(t) for t in TABLES if t in tables or t in carried}
         if "edges" in whole and "nodes" in whole and not dangling(whole["edges"], whole["nodes"]).isEmpty():
             raise ValueError("edges without nodes")
         for t, df in whole.items():
-            sort = [c for c in ("name_normalized", "source_id", "path") if c in df.columns][:1]
+            sort = [c for c in ("tok", "name_normalized", "source_id", "path") if c in df.columns][:1]
+            if sort == ["tok"]:  # a word's rows lie together; those of a frequent one are split by document
+                df, sort = df.repartitionByRange("tok", "doc"), ["tok", "doc"]
             (df.sortWithinPartitions(*sort) if sort else df).write.mode("overwrite").parquet(f"{self.path}/gen={n}/{t}")
         self._put({"version": self.VERSION, "generation": n, "tables": sorted(whole), "metadata": m["metadata"] | (metadata or {})})
         return n

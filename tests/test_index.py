@@ -3,7 +3,9 @@
 import subprocess
 
 import pytest
+from pyspark.sql import functions as F
 
+from evigraph.operators import search
 from evigraph.plans import context, harness, index
 from evigraph.plans.fixtures import FILES
 from evigraph.sources import store
@@ -60,6 +62,31 @@ def test_answers(built):
         context.context(s, " ")
 
 
+def test_stored_postings(built, spark):
+    """The stored index gives what splitting all texts gives, and the words reach its scan."""
+    _, s, _ = built
+    asked = spark.createDataFrame([("a", "order service load"), ("b", "users sign in"), ("c", "nowhere_at_all"), ("d", "OrderRepository.findById")], "query string, text string")
+    docs = search.chunk_docs(s.read("chunks"), s.read("nodes"))
+    stored = search.search_stored(s.read("postings"), s.read("lengths"), search.CHUNK_WEIGHTS, asked)
+    got = {tuple(r) for r in stored.collect()}
+    assert got == {tuple(r) for r in search.search(docs, "chunk_id", search.CHUNK_WEIGHTS, asked).collect()} and {r[0] for r in got} == {"a", "b", "d"}
+    plan = stored._jdf.queryExecution().executedPlan().toString()
+    assert "In(tok, [" in plan
+
+
+def test_refreshed_postings_split_changed_texts_alone(spark):
+    old = spark.createDataFrame([("1", "a b", "x"), ("2", "c", None), ("3", "", "c"), ("4", "gone", "")], "k string, body string, title string")
+    new = spark.createDataFrame([("1", "a b", "x"), ("2", "c d", None), ("3", "c", ""), ("5", None, "new")], "k string, body string, title string")
+    columns = ["body", "title"]
+    before = search.refreshed(old, "k", columns)
+    marked = before[0].withColumn("pos", F.col("pos") + 100)  # rows that are taken over can be told
+    postings, lengths = search.refreshed(new, "k", columns, (marked, before[1]))
+    whole = search.refreshed(new, "k", columns)
+    assert sorted(map(tuple, lengths.collect())) == sorted(map(tuple, whole[1].collect()))
+    assert {r["doc"] for r in postings.filter("pos >= 100").collect()} == {"1"}
+    assert {(r["doc"], r["col"], r["pos"] % 100, r["tok"]) for r in postings.collect()} == {tuple(r) for r in whole[0].select("doc", "col", "pos", "tok").collect()}
+
+
 def test_continuation(built):
     _, s, _ = built
     now = [0.0]
@@ -94,7 +121,7 @@ def test_refresh_equals_full(built, spark, tmp_path):
     assert (report["changed"], report["deleted"]) == (2, 1)
     other = store.Store(spark, str(tmp_path / "full"))
     index.scan(spark, str(root), other)
-    for table in ("files", "nodes", "edges", "chunks"):
+    for table in ("files", "nodes", "edges", "chunks", "postings", "lengths"):
         assert rows(s, table) == rows(other, table), table
 
 
