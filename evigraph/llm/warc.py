@@ -140,9 +140,10 @@ BATCH, BATCH_BYTES = 500, 16 << 20
 
 
 def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
-    """A row for each record of the archives (*.warc.gz, *.txt.gz: any *.gz) below path. Without payloads their column is null, but bytes and digest are theirs.
+    """A row for each record of the archives (any *.gz, and plain *.warc) below path. Without payloads their column is null, but bytes and digest are theirs.
 
-    An archive that is compressed isn't split, so a task has its parts one after the other. Empty archives give no rows."""
+    An archive that is compressed isn't split, so a task has its parts one after the other. The parts of a plain one may come
+    from several tasks; they are brought together and put in order by a sort, which spills. Empty archives give no rows."""
 
     def batch_of(rows: list[dict]) -> pa.RecordBatch:
         text = dict.fromkeys(("record_id", "warc_type", "target_uri", "date", "refers_to", "digest", "payload_sha1"), pa.string())
@@ -162,16 +163,21 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
             if rows:
                 yield batch_of(rows)
 
-    found = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.gz").option("lineSep", SEPARATOR.decode()).text(path)
-    return found.select("_metadata.file_path", F.col("value").cast("binary")).mapInArrow(run, RECORD)
+    def parts(files: str, *order: Column) -> DataFrame:
+        found = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", files).option("lineSep", SEPARATOR.decode()).text(path)
+        return found.select("_metadata.file_path", F.col("value").cast("binary"), *order)
+
+    plain = parts("*.warc", F.col("_metadata.file_block_start"), F.monotonically_increasing_id().alias("number"))
+    plain = plain.repartition("file_path").sortWithinPartitions("file_path", "file_block_start", "number").select("file_path", "value")
+    return parts("*.gz").mapInArrow(run, RECORD).union(plain.mapInArrow(run, RECORD))
 
 
 def captures(found: DataFrame) -> DataFrame:
-    """Transactions: one row (capture_id, main, request, metadata) for each response, revisit or resource record.
+    """Transactions: one row (capture_id, main, request, requests, metadata) for each response, revisit or resource record.
 
     A record belongs to the main record that it names in WARC-Concurrent-To, or that names it, or that it reaches over
-    the fewest such links, however many; of several the one with the smallest id. Of several requests of a capture the one with the
-    smallest id is kept; metadata is an array by record id. Records that reach no main record give a row each with
+    the fewest such links, however many; of several the one with the smallest id. requests and metadata are arrays by record id; request is
+    the first of requests. Records that reach no main record give a row each with
     a null main. Repeated record ids count once. No records: no rows. `found` is read several times: hand in rows that
     are written or checkpointed."""
     found = found.filter("record_id is not null")
@@ -194,9 +200,9 @@ def captures(found: DataFrame) -> DataFrame:
     owned = found.select("record_id", "warc_type", whole.alias("r")).join(owners, "record_id")
     of = lambda kinds: F.col("warc_type").isin(*kinds)
     grouped = owned.groupBy(F.col("owner").alias("capture_id")).agg(
-        F.min(F.when(of(MAIN), F.col("r"))).alias("main"), F.min(F.when(of(["request"]), F.col("r"))).alias("request"), F.array_sort(F.collect_set(F.when(~of([*MAIN, "request"]), F.col("r")))).alias("metadata")
+        F.min(F.when(of(MAIN), F.col("r"))).alias("main"), F.array_sort(F.collect_set(F.when(of(["request"]), F.col("r")))).alias("requests"), F.array_sort(F.collect_set(F.when(~of([*MAIN, "request"]), F.col("r")))).alias("metadata")
     )
-    return grouped
+    return grouped.select("capture_id", "main", F.get("requests", F.lit(0)).alias("request"), "requests", "metadata")
 
 
 def field_of(metadata: Column, name: str) -> Column:

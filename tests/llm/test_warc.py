@@ -2,6 +2,7 @@
 
 import gzip
 import hashlib
+import random
 
 import pytest
 
@@ -42,6 +43,34 @@ def test_transactions_by_links(spark):
     assert got == {"m1": ("m1", "q1", ["d1"]), "m2": ("m2", "q2", ["d2", "d3"]), "m3": ("m3", None, []), "lost": (None, None, ["lost"])}
 
 
+def test_several_requests(spark):
+    r = lambda i, kind, *to: (i, kind, None, None, list(to), None, None, {}, None, 0, "")
+    rows = [r("m", "response"), r("q2", "request", "m"), r("q1", "request", "m"), r("n", "resource")]
+    got = {c["capture_id"]: (c["request"] and c["request"]["record_id"], [x["record_id"] for x in c["requests"]]) for c in warc.captures(spark.createDataFrame(rows, warc.RECORD)).collect()}
+    assert got == {"m": ("q1", ["q1", "q2"]), "n": (None, [])}
+
+
+def test_plain_archives_in_splits(spark, tmp_path):
+    """Plain archives are cut into many splits, in the middle of records too."""
+    rng = random.Random(3)
+    bodies = [[bytes(rng.choice(b"ab\r\n\xff") for _ in range(rng.randrange(400))) + rng.choice([b"", b"\r\n\r\n"]) for _ in range(60)] for _ in range(3)]
+    for k, own in enumerate(bodies):
+        records = [b"WARC/1.0\r\nWARC-Type: metadata\r\nWARC-Record-ID: <%d-%d>\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (k, n, len(b), b) for n, b in enumerate(own)]
+        (tmp_path / f"{k}.warc").write_bytes(b"".join(records))
+    (tmp_path / "d.warc.gz").write_bytes(gzip.compress(records[0]))
+    held = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "997")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        found = warc.read(spark, str(tmp_path))
+        got = sorted((r["record_id"], bytes(r["payload"])) for r in found.collect())
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    wanted = [(f"<{k}-{n}>", b) for k, own in enumerate(bodies) for n, b in enumerate(own)]
+    assert got == sorted([*wanted, ("<2-0>", bodies[2][0])])
+
+
 def test_long_chains_of_links(spark):
     r = lambda i, kind, *to: (i, kind, None, None, list(to), None, None, {}, None, 0, "")
     rows = [r("m", "response")] + [r(f"d{k}", "metadata", f"d{k - 1}" if k else "m") for k in range(6)] + [r("x1", "metadata", "x2"), r("x2", "metadata", "x1")]
