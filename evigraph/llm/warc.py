@@ -36,9 +36,11 @@ def lines(*fields: tuple[str, Column | str]) -> Column:
     return F.concat(*[F.coalesce(F.concat(F.lit(f"{k}: "), F.lit(v) if isinstance(v, str) else v, F.lit(CRLF)), F.lit("")) for k, v in fields])
 
 
-def record(kind: str, own: Column, fields: list[tuple[str, Column | str]], block: Column) -> Column:
-    head = lines(("WARC-Type", kind), ("WARC-Record-ID", own), ("WARC-Date", DATE), *fields, ("Content-Length", F.octet_length(block).cast("string")))
-    return F.concat(F.lit(VERSION + CRLF), head, F.lit(CRLF), block)
+def record(kind: str, own: Column, fields: list[tuple[str, Column | str]], *block: Column) -> Column:
+    """A record whose block is the parts of block one after the other; a long part is copied once."""
+    size = sum((F.octet_length(b) for b in block[1:]), F.octet_length(block[0]))
+    head = lines(("WARC-Type", kind), ("WARC-Record-ID", own), ("WARC-Date", DATE), *fields, ("Content-Length", size.cast("string")))
+    return F.concat(F.lit(VERSION + CRLF), head, F.lit(CRLF), *block)
 
 
 def urn(kind: str, *parts: Column) -> Column:
@@ -66,7 +68,7 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", pay
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("bytes").cast("string"), F.lit(CRLF * 2))
     shared = [("WARC-Target-URI", target), ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest")))]
     kind = ("Content-Type", "application/http;msgtype=response")
-    response = record("response", main, [*shared, kind], F.concat(http, F.col("payload")))
+    response = record("response", main, [*shared, kind], http, F.col("payload"))
     refers = urn("main", F.col("best.id"), F.col("digest"), F.col("best.url"), F.lit(1))
     revisit = record("revisit", main, [*shared, ("WARC-Profile", PROFILE), ("WARC-Refers-To", refers), kind], http)
     host = F.coalesce(F.nullif(F.regexp_extract(target, r"^[^:/?#]+://([^/?#]*)", 1), F.lit("")), F.lit("localhost"))
