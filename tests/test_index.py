@@ -5,7 +5,7 @@ import subprocess
 import pytest
 from pyspark.sql import functions as F
 
-from evigraph.operators import search
+from evigraph.operators import evaluate, search
 from evigraph.plans import context, harness, index
 from evigraph.plans.fixtures import FILES
 from evigraph.sources import store
@@ -104,9 +104,13 @@ def test_continuation(built):
 
 def test_evaluation(built, spark):
     _, s, _ = built
-    cases = spark.createDataFrame([("1", "Fix OrderService load", "debugger", ["OrderService.java"], ["broken.py"], None), ("2", "Document the README", "doc-writer", ["README.md"], [], "eco")], "id string, query string, expected_persona string, expected_files array<string>, forbidden_files array<string>, profile string")
-    _, total = harness.run(s, cases)
+    cases = spark.createDataFrame([("1", "Fix OrderService load", "debugger", ["OrderService.java"], ["broken.py"], None, ["load", "NoSuchThing"], ["source", "database"]), ("2", "Document the README", "doc-writer", ["README.md"], [], "eco", [], ["documentation"])],
+        "id string, query string, expected_persona string, expected_files array<string>, forbidden_files array<string>, profile string, expected_symbols array<string>, expected_context_types array<string>")
+    per_case, total = harness.run(s, cases)
     t = total.first()
+    assert {r["case"]: (r["symbol_recall"], r["context_type_recall"]) for r in per_case.collect()} == {"1": (0.5, 0.5), "2": (None, 1.0)}
+    assert (t["symbol_recall"], t["context_type_recall"]) == (0.5, 0.75)
+    assert {r["metric"]: r["passed"] for r in evaluate.gates(total).collect()}["symbol_recall"] is False
     assert (t["routing_accuracy"], t["file_recall"], t["forbidden_hits"]) == (1.0, 1.0, 0) and t["mrr"] >= 0.75
     got = harness.timings(s, {"read": lambda: s.manifest()}, runs=2).collect()
     assert {r["operation"] for r in got} == {"read:cold", "read:warm"}
