@@ -82,7 +82,7 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(ends, "node_id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
 
 
-def overview(nodes: DataFrame, edges: DataFrame, limit: int = 48, hidden: tuple[str, ...] = ("persona", "policy")) -> DataFrame:
+def overview(nodes: DataFrame, edges: DataFrame, limit: int = 48, hidden: tuple[str, ...] = ("persona", "policy", "relation_policy", "node_kind_policy", "tag_policy")) -> DataFrame:
     """The nodes with the most edge ends, by name, then id."""
     return degrees(nodes.filter(~F.col("kind").isin(*hidden)), edges).orderBy(F.desc("degree"), "qualified_name", "node_id").limit(limit).select("node_id", "kind", "name", "degree")
 

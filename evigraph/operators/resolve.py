@@ -84,6 +84,38 @@ def layered(edges: DataFrame, layers: DataFrame) -> DataFrame:
     return best.select("controller", "b.service", "b.repository")
 
 
+def reference_keys() -> Column:
+    """For references (relation, qualified_name): what a node must have in common with one to resolve it, by the strategies of resolve()."""
+    raw = casefold(F.col("qualified_name"))
+    call = (F.col("relation") == "CALLS") & F.contains(raw, F.lit("#"))
+    owner = F.substring_index(raw, "#", 1)
+    target = F.when(call, owner).otherwise(raw)
+    method = F.when(call, F.concat(F.lit("m:"), owner, F.lit("#"), F.regexp_extract(raw, r"#([^/]*)", 1)))
+    contract = F.when(F.col("relation") == "CALLS_ENDPOINT", _contract_key(raw))
+    return F.array_compact(F.array(F.concat(F.lit("q:"), target), F.concat(F.lit("s:"), simple_name(target)), method, contract))
+
+
+def node_keys() -> Column:
+    """The same for nodes (kind, name, qualified_name)."""
+    q, name = casefold(F.col("qualified_name")), casefold(F.col("name"))
+    method = F.when(F.contains(q, F.lit("#")), F.concat(F.lit("m:"), F.substring_index(q, "#", 1), F.lit("#"), name))
+    contract = F.when(F.col("kind") == "endpoint", _contract_key(q))
+    return F.array_compact(F.array(F.concat(F.lit("q:"), q), F.concat(F.lit("s:"), name), method, contract))
+
+
+def _contract_key(contract: Column) -> Column:
+    return F.concat(F.lit("e:"), method_of(contract), F.lit(":"), F.size(segments(contract)).cast("string"))
+
+
+def affected_owners(edges: DataFrame, nodes: DataFrame, changed: DataFrame) -> DataFrame:
+    """Paths with a reference that may resolve otherwise now that `changed` (kind, name, qualified_name), old and new rows, have come, gone or changed."""
+    external = nodes.filter("kind = 'external_symbol'").select(F.col("node_id").alias("target_id"), "qualified_name")
+    refs = edges.filter(F.col("relation").isin(*RESOLVED)).join(external, "target_id").select("source_id", F.explode(reference_keys()).alias("key"))
+    hit = refs.join(changed.select(F.explode(node_keys()).alias("key")).distinct(), "key", "left_semi").select("source_id").distinct()
+    placed = nodes.filter(F.col("path").isNotNull()).select(F.col("node_id").alias("source_id"), "path")
+    return hit.join(placed, "source_id").select("path").distinct()
+
+
 def reference_owners(edges: DataFrame, nodes: DataFrame, changed: DataFrame) -> DataFrame:
     """Paths whose edges refer to an external symbol with the name or qualified name of one of changed (name, qualified_name)."""
     external = nodes.filter("kind = 'external_symbol'").select(F.col("node_id").alias("target_id"), casefold(F.col("qualified_name")).alias("q"), casefold(F.col("name")).alias("n"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import copy
 import hashlib
 import hmac
 import json
@@ -13,6 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evigraph.cache import Bounded
 from evigraph.functions.classify import requested_tags
 from evigraph.functions.scores import graph_score
 from evigraph.functions.text import exact_terms
@@ -47,7 +49,8 @@ def candidates(index: store.Store, task: str, persona: personas.Persona, walk: b
     chunks = index.read("chunks").join(names, "symbol_id", "left")
     asked = spark.createDataFrame([("q", task)], "query string, text string")
     terms = asked.select(F.posexplode(exact_terms(F.col("text"))).alias("term_index", "term"))
-    hits = lookup.exact_or_full_text(nodes, terms, 2 * TOP_EXACT).join(nodes.select("node_id", "kind", "path"), "node_id").filter(~F.coalesce("path", F.lit("")).eqNullSafe("@persona"))
+    real = nodes.filter(~store.of_layer("path"))
+    hits = lookup.exact_or_full_text(real, terms, 2 * TOP_EXACT).join(real.select("node_id", "kind", "path"), "node_id")
     if persona.policy.start_kinds:
         hits = lookup.preferred(hits, list(persona.policy.start_kinds))
     seeds = held(hits.orderBy(F.desc("score"), "node_id").limit(TOP_EXACT))
@@ -62,6 +65,8 @@ def candidates(index: store.Store, task: str, persona: personas.Persona, walk: b
         words = search.search(search.chunk_docs(index.read("chunks"), nodes), "chunk_id", search.CHUNK_WEIGHTS, asked, TOP_LEXICAL)
     rows = rows.union(words.select(F.col("doc"), F.lit(1), F.concat(F.lit("fts-rank-"), F.col("rank").cast("string")), F.col("lexical"), none))
     if walk and persona.policy.graph_depth:
+        if not persona.policy.traverse_relations:  # the repository would lead from a file to all others
+            edges = edges.filter(~(F.col("relation").eqNullSafe("CONTAINS") & store.of_layer("evidence_path")) & (F.col("evidence_path") != "@persona"))
         found = graph.graph_walk(edges, seeds.select("node_id"), list(persona.policy.traverse_relations) or None, min(2, persona.policy.graph_depth), MOST_NODES)
         near = chunks.join(F.broadcast(found.select(F.col("node_id").alias("symbol_id"), "distance", "relation")), "symbol_id")
         near = near.orderBy("distance", "chunk_id").limit(MOST_GRAPH_CHUNKS)
@@ -132,12 +137,15 @@ def dumps(bundle: dict) -> str:
 
 @dataclass
 class Compiler:
-    """Answers tasks, and goes on from an answer without what it has given: a token is good for TTL seconds, while the index stays."""
+    """Answers tasks, and goes on from an answer without what it has given: a token is good for TTL seconds, while the index stays.
+
+    The last 64 answers are kept until the index has another generation."""
 
     index: store.Store
     clock: Callable[[], float] = time.time
     key: bytes = field(default_factory=lambda: secrets.token_bytes(32))
     held: dict[str, tuple[float, int, frozenset[str], dict]] = field(default_factory=dict)
+    answers: Bounded = field(default_factory=lambda: Bounded(64))
 
     def token(self, task: str, ids: frozenset[str]) -> str:
         return hmac.new(self.key, "\x1f".join([task, *sorted(ids)]).encode(), hashlib.sha256).hexdigest()[:32]
@@ -149,7 +157,8 @@ class Compiler:
             if until < self.clock() or generation != self.index.manifest()["generation"]:
                 raise KeyError("the continuation has expired")
             task, how = before["task"], before["how"] | how
-        bundle = context(self.index, task, exclude=seen, **how)
+        asked = (task, seen, *((k, repr(v)) for k, v in sorted(how.items())))
+        bundle = copy.deepcopy(self.answers.get(asked, lambda: context(self.index, task, exclude=seen, **how), self.index.manifest()["generation"]))
         ids = seen | {x["id"] for x in bundle.get("evidence", [])}
         if bundle.get("evidence"):
             token = self.token(task, ids)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 import subprocess
 from collections.abc import Iterable
@@ -115,17 +116,27 @@ def own_ignores(spark: SparkSession, root: str) -> tuple[str, ...]:
         stream.close()
 
 
+def hidden(path: str) -> bool:
+    """Does Spark's listing leave a relative path out for its name or that of a folder?"""
+    return any(x.startswith(".") or (x.startswith("_") and "=" not in x) for x in path.split("/"))
+
+
 def listing(spark: SparkSession, root: str, extensions: Iterable[str] = tuple(LANGUAGES), most_bytes: int = MOST_BYTES, ignore: Iterable[str] = (), changed: Iterable[str] | None = None) -> DataFrame:
     """(path, size_bytes, modified_at, content): files below root with a known suffix, not too large, ignored neither by these patterns nor by the tree's own; `changed` restricts it to some paths. Spark lists no file without bytes."""
-    base = root.rstrip("/")
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
+    base, few = root.rstrip("/"), None if changed is None else sorted(set(changed))
+    reader = spark.read.format("binaryFile")
+    if few is None or any(re.search(r"[][{}*?\\]", base + p) for p in few):  # the reader takes such names for patterns
+        raw = reader.option("recursiveFileLookup", "true").load(base)
+    else:  # named files are opened alone, those that a listing would show
+        there = [f"{base}/{p}" for p in few if not hidden(p) and os.path.isfile(f"{base}/{p}") and not os.path.islink(f"{base}/{p}")]
+        raw = reader.load(there) if there else spark.createDataFrame([], "path string, modificationTime timestamp, length long, content binary")
     relative = F.regexp_replace("path", r"^(?:file:)?/*" + re.escape(base.lstrip("/")).replace("\\-", "-") + "/+", "")
     rows = raw.select(relative.alias("path"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified_at"), "content")
     known = [x.lower() for x in extensions]
     rows = rows.filter((F.col("size_bytes") <= most_bytes) & F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)).isin(*known))
     rows = rows.filter(~Ignore((*ignore, *own_ignores(spark, base), *IGNORED)).udf()(F.col("path")))
-    if changed is not None:
-        wanted = spark.createDataFrame([(p,) for p in changed], "path string")
+    if few is not None:
+        wanted = spark.createDataFrame([(p,) for p in few], "path string")
         rows = rows.join(wanted, "path", "left_semi")
     return rows
 
@@ -176,8 +187,8 @@ def parse_name_status(text: str) -> GitChanges:
 
 def git_changes(root: str, indexed: str, current: str = "HEAD") -> GitChanges | None:
     """What differs from an indexed commit: committed, in the work tree, or untracked. None means that all must be scanned, as when an ignore file changed."""
-    committed = _git(root, "diff", "--name-status", "-z", "-M", indexed, current)
-    tree = _git(root, "diff", "--name-status", "-z", "-M", current)
+    committed = _git(root, "diff", "--relative", "--name-status", "-z", "-M", indexed, current)
+    tree = _git(root, "diff", "--relative", "--name-status", "-z", "-M", current)
     new = _git(root, "ls-files", "--others", "--exclude-standard", "-z")
     if committed is None or tree is None or new is None:
         return None

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import re
-from dataclasses import dataclass, replace
+from dataclasses import asdict, dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -82,7 +84,6 @@ def registry(*overrides: Persona, base: dict[str, tuple[str, ...]] | None = None
 
 def load(path: str) -> list[Persona]:
     """Personas from YAML or JSON files, if a YAML reader is installed for the former."""
-    import json
     import pathlib
 
     out = []
@@ -160,6 +161,23 @@ def apply_profile(persona: Persona, profile: str) -> Persona:
     return replace(persona, policy=p)
 
 
+def fingerprint(personas: dict[str, Persona]) -> str:
+    """What tells one set of personas from another."""
+    return hashlib.sha256(json.dumps({k: asdict(p) for k, p in personas.items()}, sort_keys=True).encode()).hexdigest()[:16]
+
+
+def policy_nodes(spark: SparkSession, personas: dict[str, Persona]) -> DataFrame:
+    """The personas, and what their policies name, as nodes of the layer @persona."""
+    rows = {}
+    for p in personas.values():
+        about = {"purpose": p.purpose, "rules": p.rules, "output": p.output, "max_context_tokens": p.policy.max_context_tokens, "graph_depth": p.policy.graph_depth}
+        rows[f"persona::{p.id}"] = ("persona", p.id, json.dumps(about, sort_keys=True))
+        for prefix, kind, names in (("relation", "relation_policy", p.policy.traverse_relations), ("kind", "node_kind_policy", p.policy.start_kinds), ("tag", "tag_policy", p.policy.include_tags)):
+            rows |= {f"{prefix}::{x}": (kind, x, "{}") for x in names}
+    out = [(k, kind, name, name, "@persona", 0, 0, about) for k, (kind, name, about) in rows.items()]
+    return spark.createDataFrame(out, "node_id string, kind string, name string, qualified_name string, path string, start_line int, end_line int, metadata string")
+
+
 def policy_edges(spark: SparkSession, personas: dict[str, Persona]) -> DataFrame:
     """The personas' policies as edges, for the layer @persona."""
     rows = [(p.id, list(p.policy.traverse_relations), list(p.policy.start_kinds), list(p.policy.include_tags)) for p in personas.values()]

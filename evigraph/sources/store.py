@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -56,6 +56,11 @@ def dangling(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(ids, F.col("source_id") == F.col("node_id"), "left_anti").union(edges.join(ids, F.col("target_id") == F.col("node_id"), "left_anti")).distinct()
 
 
+def of_layer(column: str) -> Column:
+    """Is the path that of a layer, as @derived or @persona, not that of a file?"""
+    return F.startswith(F.coalesce(column, F.lit("")), F.lit("@"))
+
+
 def replace_layer(edges: DataFrame, layer: str, new: DataFrame, owners: DataFrame | None = None) -> DataFrame:
     """edges with a layer's rows, or those of some owners (evidence_path), given anew."""
     own = F.startswith("evidence_path", F.lit(layer))

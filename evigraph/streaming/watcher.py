@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import os
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
 from evigraph.streaming.changes import Coalescer
@@ -83,6 +83,19 @@ class Watcher:
         self.write()
         return self.backoff.after(bool(changes))
 
+    def run(self, events: Callable[[], Iterable] | None = None, stop: Callable[[], bool] = lambda: False, sleep: Callable[[float], object] = time.sleep) -> None:
+        """Polls until stop(). `events`, such as `watchfiles.watch` over the tree, says when to look; once it fails, pauses do."""
+        if events is not None:
+            try:
+                for _ in events():
+                    if stop():
+                        return
+                    self.poll()
+            except Exception as e:
+                self.diagnostics.append({"severity": "warning", "code": "watcher", "message": f"polling instead: {type(e).__name__}: {e}", "source": "watcher"})
+        while not stop():
+            sleep(self.poll())
+
     def status(self) -> dict:
         counts = {s: sum(d["severity"] == s for d in self.diagnostics) for s in ("error", "warning", "info")}
         return {"state": self.state, "pending": len(self.coalescer.states) + len(self.left), "heartbeat": self.clock(), "pid": os.getpid(), "retry_at": self.retry_at, "diagnostics": self.diagnostics[-50:], "counts": counts}

@@ -5,10 +5,10 @@ import subprocess
 import pytest
 from pyspark.sql import functions as F
 
-from evigraph.operators import evaluate, search
+from evigraph.operators import evaluate, resolve, search
 from evigraph.plans import context, harness, index
 from evigraph.plans.fixtures import FILES
-from evigraph.sources import store
+from evigraph.sources import files, personas, store
 
 MORE = {
     "shop/OrderServiceTest.java": "package com.shop.core;\n\npublic class OrderServiceTest {\n    public void loads() {\n    }\n}\n",
@@ -43,6 +43,7 @@ def test_scan(built, spark):
     edges = {(e["source_id"], e["relation"], e["target_id"]) for e in s.read("edges").collect()}
     assert ("java::com.shop.web.OrderController", "RESOLVED_DEPENDS_ON", "java::com.shop.core.OrderService") in edges
     assert ("java::com.shop.core.OrderServiceTest", "TESTS", "java::com.shop.core.OrderService") in edges
+    assert {t for s_, r, t in edges if r == "CONTAINS" and s_.startswith("repo::")} == {n["node_id"] for n in s.read("nodes").filter("kind = 'file'").collect()}
     assert ("generic::client/orders.ts::method::place", "RESOLVED_CALLS_ENDPOINT", "endpoint::com.shop.web.OrderController::find/1::GET /api/orders/{}") in edges
     tags = {t for c in s.read("chunks").filter("path = 'README.md'").collect() for t in c["tags"]}
     assert {"markdown", "section:authentication"} <= tags
@@ -121,15 +122,17 @@ def test_refresh_equals_full(built, spark, tmp_path):
     (root / "shop/OrderService.java").write_text(FILES["shop/OrderService.java"].replace("load(", "fetch(").replace("orders.limit", "orders.most"))
     (root / "api/users.py").unlink()
     (root / "extra.py").write_text("import os\n\n\ndef added():\n    return 1\n")
-    report = index.scan(spark, str(root), s)
+    mine = {"tester": personas.Persona("tester", ("test",), policy=personas.Policy(traverse_relations=("TESTS",), start_kinds=("class",)))}
+    report = index.scan(spark, str(root), s, known=mine)
     assert (report["changed"], report["deleted"]) == (2, 1)
+    assert {r["node_id"] for r in s.read("nodes").filter("path = '@persona'").collect()} == {"persona::tester", "relation::TESTS", "kind::class"}
     other = store.Store(spark, str(tmp_path / "full"))
-    index.scan(spark, str(root), other)
+    index.scan(spark, str(root), other, known=mine)
     for table in ("files", "nodes", "edges", "chunks", "postings", "lengths"):
         assert rows(s, table) == rows(other, table), table
 
 
-def test_clean_tree_is_skipped(spark, tmp_path):
+def test_git_names_what_changed(spark, tmp_path, monkeypatch):
     root = tmp_path / "git"
     write(root, {"a.py": "def f():\n    pass\n"})
     for args in (("init", "-q"), ("add", "-A"), ("-c", "user.name=t", "-c", "user.email=t@t", "commit", "-qm", "x")):
@@ -137,5 +140,36 @@ def test_clean_tree_is_skipped(spark, tmp_path):
     s = store.Store(spark, str(tmp_path / "i"))
     assert not index.scan(spark, str(root), s)["skipped"]
     assert index.scan(spark, str(root), s)["skipped"]
-    (root / "b.py").write_text("x = 1\n")
-    assert index.scan(spark, str(root), s)["changed"] == 1
+    (root / "b.py").write_text("import a\n\n\ndef g():\n    pass\n")
+    (root / "sub").mkdir()
+    (root / "a.py").rename(root / "sub/c.py")
+    (root / "_hidden.py").write_text("x = 1\n")
+    asked, listing = [], files.listing
+    monkeypatch.setattr(files, "listing", lambda *a, **k: asked.append(k["changed"]) or listing(*a, **k))
+    assert {k: v for k, v in index.scan(spark, str(root), s).items() if k in ("changed", "deleted")} == {"changed": 2, "deleted": 1}
+    assert set(asked[0]) == {"b.py", "_hidden.py", "sub/c.py"}  # Git named them
+    (root / "sub/d[1].py").write_text("x = 1\n")  # a name that the reader would take for a pattern
+    assert {r["path"] for r in listing(spark, str(root), changed=["sub/d[1].py", "b.py", "gone.py"]).select("path").collect()} == {"sub/d[1].py", "b.py"}
+    (root / "sub/d[1].py").unlink()
+    other = store.Store(spark, str(tmp_path / "full"))
+    index.scan(spark, str(root), other)
+    for table in ("files", "nodes", "edges", "chunks"):
+        assert rows(s, table) == rows(other, table), table
+    checked = index.doctor(s, str(root))
+    assert checked["workspace"] and checked["repository"] and checked["index"] and not checked["degraded"]
+
+
+def test_layers_and_owners(spark):
+    node = "node_id string, kind string, name string, qualified_name string, path string, start_line int, end_line int, metadata string"
+    layer = lambda x: '{"layer": "%s"}' % x
+    nodes = spark.createDataFrame([(n, "class", n, f"p.{n}", f"{n}.java", 1, 9, layer(w)) for n, w in (("C", "controller"), ("D", "controller"), ("S", "service"), ("T", "service"), ("R", "repository"), ("Q", "repository"))] + [("e::p.R", "external_symbol", "R", "p.R", None, 0, 0, "{}"), ("e::z.N", "external_symbol", "N", "z.N", None, 0, 0, "{}")], node)
+    edge = "source_id string, relation string, target_id string, evidence_path string, confidence double"
+    resolved = spark.createDataFrame([(a, "RESOLVED_DEPENDS_ON", b, f"@derived:{a}.java", 0.9) for a, b in (("C", "S"), ("C", "T"), ("D", "R"), ("T", "R"), ("T", "Q"))], edge)
+    more_nodes, more_edges = index.structure(nodes, resolved, "repo::x", "x")
+    assert {r["node_id"] for r in more_nodes.collect()} == {"repo::x", "pattern::layered::C"}
+    got = {(r["source_id"], r["relation"], r["target_id"], r["evidence_path"]) for r in more_edges.collect()}
+    assert got == {("C", "FOLLOWS_PATTERN", "pattern::layered::C", "@derived:C.java")} | {("pattern::layered::C", "HAS_MEMBER", m, "@derived:C.java") for m in "CSTRQ"}
+    raw = spark.createDataFrame([("S", "DEPENDS_ON", "e::p.R"), ("T", "CALLS", "e::z.N"), ("C", "IMPORTS", "e::p.R")], "source_id string, relation string, target_id string")
+    owners = lambda rows: {r["path"] for r in resolve.affected_owners(raw, nodes, spark.createDataFrame(rows, "kind string, name string, qualified_name string")).collect()}
+    assert owners([("class", "R", "other.R")]) == {"S.java"}  # by the simple name
+    assert owners([("class", "n", None), ("class", None, "P.r")]) == {"S.java", "T.java"} and owners([("class", "X", "p.X")]) == set()
