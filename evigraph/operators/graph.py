@@ -41,7 +41,8 @@ def graph_walk(edges: DataFrame, starts: DataFrame, relations: list[str] | None
 
 def reach(edges: DataFrame, starts: DataFrame, depth: int = 2) -> DataFrame:
     """(start_id, node_id, distance): as graph_walk for many starts at once, without a quota; nothing reaches the driver."""
-    both = edges.select(F.col("source_id").alias("a"), F.col("target_id").alias("b")).union(edges.select("target_id", "source_id")).distinct()
+    way = lambda a, b: F.struct(F.col(a).alias("a"), F.col(b).alias("b"))
+    both = edges.select(F.inline(F.array(way("source_id", "target_id"), way("target_id", "source_id"))))  # one pass over edges; what is reached twice is dropped after the hop
     seen = starts.select(F.col("node_id").alias("start_id"), "node_id", F.lit(0).alias("distance")).distinct()
     frontier = seen
     for hop in range(1, depth + 1):
