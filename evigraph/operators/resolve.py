@@ -21,6 +21,14 @@ def unique(candidates: DataFrame, key: str, value: str = "node_id") -> DataFrame
     return candidates.groupBy(key).agg(F.count_distinct(value).alias("__n"), F.min(value).alias(value)).filter("__n = 1").select(key, value)
 
 
+def sole(references: DataFrame, candidates: DataFrame, keys: list[str]) -> DataFrame:
+    """(ref, node_id) of the references (ref, keys) for which there is one candidate (node_id, keys) alone.
+
+    Least and greatest node of each key stand for all its candidates, so a key that many references and many nodes share isn't expanded into their pairs."""
+    ends = candidates.groupBy(*keys).agg(F.min("node_id").alias("node_id"), F.max("node_id").alias("__last"))
+    return references.join(ends, keys).groupBy("ref").agg(F.min("node_id").alias("node_id"), F.max("__last").alias("__last")).filter("node_id = __last").select("ref", "node_id")
+
+
 def simple_name(raw: Column) -> Column:
     return F.substring_index(F.substring_index(raw, "#", 1), ".", -1)
 
@@ -35,10 +43,10 @@ def resolve(references: DataFrame, nodes: DataFrame, any_method: bool = False) -
     refs = references.select("ref", "relation", casefold(F.col("qualified_name")).alias("raw")).withColumn("owner", F.substring_index("raw", "#", 1))
     methods = n.filter(F.contains("q", F.lit("#"))).withColumn("owner", F.substring_index("q", "#", 1)).select("owner", F.col("simple").alias("method"), "node_id")
     calls = refs.filter((F.col("relation") == "CALLS") & F.contains("raw", F.lit("#"))).withColumn("method", F.regexp_extract("raw", r"#([^/]*)", 1))
-    by_method = unique(calls.join(methods, ["owner", "method"]), "ref")
+    by_method = sole(calls, methods, ["owner", "method"])
     target = F.when((F.col("relation") == "CALLS") & F.contains("raw", F.lit("#")), F.col("owner")).otherwise(F.col("raw"))
     refs = refs.withColumn("target", target)
-    by_name = unique(refs.join(n.filter("kind <> 'external_symbol'").select(F.col("q").alias("target"), "node_id"), "target"), "ref")
+    by_name = sole(refs, n.filter("kind <> 'external_symbol'").select(F.col("q").alias("target"), "node_id"), ["target"])
     ends = n.filter("kind = 'endpoint'").select("node_id", F.col("q").alias("provider"))
     clients = refs.filter("relation = 'CALLS_ENDPOINT'").select("ref", F.col("raw").alias("client"))
     on_size = lambda df, c: df.withColumn("size", F.size(segments(F.col(c)))).withColumn("method", method_of(F.col(c)))
@@ -48,7 +56,7 @@ def resolve(references: DataFrame, nodes: DataFrame, any_method: bool = False) -
     matched = left.join(right, ["method", "size"]).filter(contract_matches(F.col("provider"), F.col("client")))
     by_contract = unique(matched, "ref")
     simple = refs.filter("relation <> 'CALLS_ENDPOINT'").withColumn("simple", simple_name(F.col("target")))
-    by_simple = unique(simple.join(n.filter(~F.col("kind").isin(*NOT_SIMPLE)).select("simple", "node_id"), "simple"), "ref")
+    by_simple = sole(simple, n.filter(~F.col("kind").isin(*NOT_SIMPLE)).select("simple", "node_id"), ["simple"])
     out = None
     for k, (name, found) in enumerate((("method", by_method), ("qualified", by_name), ("contract", by_contract), ("simple", by_simple))):
         rows = found.select("ref", "node_id", F.lit(name).alias("strategy"), F.lit(k).alias("k"))

@@ -173,3 +173,26 @@ def test_layers_and_owners(spark):
     owners = lambda rows: {r["path"] for r in resolve.affected_owners(raw, nodes, spark.createDataFrame(rows, "kind string, name string, qualified_name string")).collect()}
     assert owners([("class", "R", "other.R")]) == {"S.java"}  # by the simple name
     assert owners([("class", "n", None), ("class", None, "P.r")]) == {"S.java", "T.java"} and owners([("class", "X", "p.X")]) == set()
+
+
+def test_resolve_makes_no_pairs_of_a_shared_name(spark, tmp_path):
+    """1,000 references and 1,000 nodes with one name: the joins make a row for each reference, not a million."""
+    nodes = spark.range(1000).selectExpr("concat('n', id) as node_id", "'part' as kind", "concat('b.', id) as qualified_name", "'same' as name")
+    nodes = nodes.union(spark.createDataFrame([("one", "part", "b.one", "one")], nodes.schema))
+    refs = spark.range(1000).selectExpr("concat('r', id) as ref", "'DEPENDS_ON' as relation", "'x.same' as qualified_name")
+    refs = refs.union(spark.createDataFrame([("r1000", "DEPENDS_ON", "x.one"), ("twice", "DEPENDS_ON", "x.one"), ("twice", "DEPENDS_ON", "x.same"), ("again", "DEPENDS_ON", "x.one"), ("again", "DEPENDS_ON", "y.one"), ("q", "EXTENDS", "B.7")], refs.schema))
+    for k, df in (("refs", refs), ("nodes", nodes)):  # files, so that Spark can't work out the rows beforehand
+        df.write.parquet(str(tmp_path / k))
+    found = resolve.resolve(spark.read.parquet(str(tmp_path / "refs")), spark.read.parquet(str(tmp_path / "nodes"))).collect()
+    assert {tuple(r) for r in found} == {("r1000", "one", "simple"), ("again", "one", "simple"), ("q", "n7", "qualified")}
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    log = spark._jsparkSession.sharedState().statusStore()
+    last = log.executionsList().last()
+    values = log.executionMetrics(last.executionId())
+    nodes_run = log.planGraph(last.executionId()).allNodes()
+    made = 0
+    for node in (nodes_run.apply(i) for i in range(nodes_run.size())):
+        for m in (node.metrics().apply(i) for i in range(node.metrics().size())):
+            if "Join" in node.name() and m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                made += int(values.apply(m.accumulatorId()).replace(",", ""))
+    assert 1000 <= made < 10_000
