@@ -124,7 +124,7 @@ def persona_route(spark, d):
   when regexp_matches(text, '\\b[A-Z][A-Za-z0-9_]{2,}\\b') and len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) <= 12 then 'eco' else 'balanced' end as profile from t)
 select conv_id, turn, profile, case profile when 'eco' then 1800 when 'deep' then 6000 else 2400 end as tokens, case profile when 'eco' then 2 when 'deep' then 4 else 3 end as per_file, case profile when 'eco' then 1 when 'deep' then 3 else 2 end as depth from p""")
 def profile_apply(spark, d):
-    t = table(spark, d, "conversations").select("conv_id", "turn", personas.resolve_profile(F.col("text")).alias("profile"))
+    t = table(spark, d, "conversations").select("conv_id", "turn", personas.resolve_profile(F.col("text"), ascii_words=True).alias("profile"))
     tokens, per_file, depth = personas.profile_columns(F.col("profile"), F.lit(2400), F.lit(3), F.lit(2))
     return t.select("conv_id", "turn", "profile", tokens.alias("tokens"), per_file.alias("per_file"), depth.alias("depth"))
 

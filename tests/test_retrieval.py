@@ -3,10 +3,12 @@
 import json
 import subprocess
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from evigraph.operators import chunking, evaluate, export, graph, lookup, metrics, packing, search
+from evigraph.plans import catalog
 from evigraph.sources import datasets, files, personas
 from evigraph.streaming.changes import Coalescer, coalesce_stream, coalesced, sessions, timed, windowed
 
@@ -95,6 +97,21 @@ def test_profiles(spark, tmp_path):
         personas.registry(base={"x": ()})
 
 
+def test_profile_apply_reads_words_as_its_sql_does(spark, tmp_path):
+    """A word ends before an accented letter, a vertical tab is no space, İ is i; tasks as context() takes them keep their own words."""
+    words = " ".join("abcdefghijkl")
+    texts = ["Queí se", "éAbc", "Abc\u0301", "Abc déf", "Ab é", f"Abc {words}", f"Abc\x0b{words}", f"Abc {words}".replace(" l", "\x0bl"), "MİGRATİON of Abc", "croß-module", "", "\x0b", None]
+    rows = [(k, 0, "user", t) for k, t in enumerate(texts)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(str(tmp_path / "conversations.parquet"))
+    found = {r["conv_id"]: r["profile"] for r in catalog.QUERIES["profile_apply"](spark, str(tmp_path)).collect()}
+    with duckdb.connect() as c:
+        c.execute(f"create view conversations as select * from read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+        wanted = c.sql(catalog.SQL["profile_apply"]).df()
+    assert found == dict(zip(wanted["conv_id"], wanted["profile"], strict=True))
+    assert [found[k] for k in range(9)] == ["eco", "eco", "eco", "eco", "balanced", "balanced", "eco", "eco", "deep"]
+    assert spark.createDataFrame([("Abc\x0b" + words,)], "text string").select(personas.resolve_profile(F.col("text"))).first()[0] == "balanced"
+
+
 def test_evaluation(spark, tmp_path):
     got = spark.createDataFrame([("c", "a", 1), ("c", "b", 2), ("c", "a", 3), ("d", "x", 1)], "case string, item string, rank int")
     want = spark.createDataFrame([("c", "b"), ("c", "z"), ("e", "q")], "case string, item string")
