@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from evigraph.sources.tables import table
 
-__all__ = ["WORD", "Scratch", "binary", "cut", "record_batch", "row_hash", "shared_dir", "slices", "strings", "table", "unused"]
+__all__ = ["WORD", "Scratch", "binary", "cut", "dealt", "record_batch", "row_hash", "shared_dir", "slices", "strings", "table", "unused"]
 
 #: A word is a run of characters other than space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -39,6 +39,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """The rows dealt evenly over as many partitions as there are cores: for narrow rows that are written next.
+
+    A file for each partition of a shuffle would be many small ones; on a local folder Hadoop also starts three processes (chmod) for each."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 class Scratch:
     """A folder below the shared one for tables between jobs. What isn't dropped before goes when the application ends."""
 

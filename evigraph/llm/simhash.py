@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evigraph.llm.common import binary, cut, record_batch, slices, table, unused
+from evigraph.llm.common import binary, cut, dealt, record_batch, slices, table, unused
 from evigraph.llm.components import connected_components
 
 SEED = 42
@@ -207,21 +207,21 @@ def links(distinct: DataFrame) -> DataFrame:
     grouped = lambda df, most: df.repartition("key", "part", "block").sortWithinPartitions("key", "part", "block").mapInArrow(lambda b: _links(b, most), LINKS)
     unread = lambda df: df.filter("a is null").select("key", "part", F.col("b").alias("fp"))
     keyed = distinct.select("fp", F.posexplode(F.array(*bits(key_masks()))).alias("key", "part"))
-    found = cut(grouped(keyed.select(F.col("key").cast("long"), "part", F.lit(0).cast("long").alias("block"), "fp"), LARGE))
+    found = cut(dealt(grouped(keyed.select(F.col("key").cast("long"), "part", F.lit(0).cast("long").alias("block"), "fp"), LARGE)))
     over, read = unread(found), found.filter("a is not null").select("a", "b")
     if over.isEmpty():
         return read
     masks, keys = segment_masks(), key_masks()
     wider = F.element_at(F.array(*[F.array(*bits([keys[k] | masks[x] for x in further_segments(k)])) for k in range(2 * SEGMENTS)]), (F.col("key") + 1).cast("int"))
     split = over.select("key", "fp", F.posexplode(wider).alias("way", "part")).select((F.col("key") + F.col("way").cast("long") * (2 * SEGMENTS)).alias("key"), "part", F.lit(0).cast("long").alias("block"), "fp")
-    found = cut(grouped(split, LARGE))
+    found = cut(dealt(grouped(split, LARGE)))
     over, read = unread(found), read.union(found.filter("a is not null").select("a", "b"))
     if over.isEmpty():
         return read
     blocks = over.groupBy("key", "part").agg(F.ceil(F.count("*") / F.lit(LARGE)).alias("n"))
-    dealt = over.join(blocks, ["key", "part"]).withColumn("at", F.pmod(F.xxhash64("fp"), "n")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-    dealt = dealt.select("key", "part", (F.least("at", "other") * F.col("n") + F.greatest("at", "other")).alias("block"), "fp")
-    return read.union(grouped(dealt, None).select("a", "b"))
+    pairs = over.join(blocks, ["key", "part"]).withColumn("at", F.pmod(F.xxhash64("fp"), "n")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    pairs = pairs.select("key", "part", (F.least("at", "other") * F.col("n") + F.greatest("at", "other")).alias("block"), "fp")
+    return cut(dealt(read.union(grouped(pairs, None).select("a", "b"))))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:

@@ -123,6 +123,46 @@ def test_components(spark, shape, monkeypatch):
     assert found == wanted and len(rounds) < 32
 
 
+def test_components_by_rounds_and_on_the_driver(spark, monkeypatch):
+    """Both ways give the components of union by hand; edges with a null end are left out, self loops stay."""
+    rng = np.random.default_rng(13)
+    names = [int(x) for x in rng.permutation(400)]
+    edges = [*zip(names, names[1:150]), *((-int(a), -int(b)) for a, b in rng.integers(1, 900, (400, 2))), (5000, 5000), *((7000 - i, 7000) for i in range(200)), (2**63 - 1, -(2**63))]
+    wanted = components_of({x for e in edges for x in e}, edges)
+    df = spark.createDataFrame([*edges, *edges[:50], (None, 3), (4, None), (None, None)], "a long, b long")
+    for few in (1 << 19, 0):
+        monkeypatch.setattr(components, "FEW", few)
+        found = collected(components.connected_components(df))
+        assert len(found) == len(wanted) and {r["node"]: r["root"] for r in found} == wanted
+
+
+def test_near_copies_leave_few_files(spark):
+    """Narrow tables between jobs have files by cores, not by partitions of a shuffle: on a local folder each file costs three processes."""
+    from pathlib import Path
+
+    from evigraph.llm.common import shared_dir
+
+    rng = np.random.default_rng(17)
+    texts = []
+    for _ in range(120):
+        base = [f"w{x}" for x in rng.integers(0, 5000, 100)]
+        texts += [" ".join(base), " ".join([*base, "one"]), " ".join([*base, "two", "more"])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    held = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in held}
+    there = lambda: set(Path(shared_dir(spark).removeprefix("file:")).rglob("part-*"))
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        for step in (simhash.near_duplicates,):
+            before = there()
+            assert len(collected(step(df.repartition(2)))) == len(texts)
+            assert 0 < len(there() - before) <= 4 * spark.sparkContext.defaultParallelism
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
 def test_keep_one(spark, awkward, docs, empty):
     kept = collected(simhash.keep_one(awkward.filter("text is null or length(text) < 50000")))
     ids = [r["doc_id"] for r in kept if r["doc_id"] is not None]
