@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evigraph.llm.common import Scratch, binary, record_batch, slices
+from evigraph.llm.common import Scratch, binary, dealt, record_batch, slices
 from evigraph.llm.components import connected_components
 from evigraph.llm.simhash import SEED, majority, one_of_each, ring_ok, shingle_hashes
 
@@ -172,27 +172,29 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     scratch = Scratch(docs.sparkSession, "nearcopies")
     rows = scratch.written("rows", signatures(docs, id_col, text_col, shingle))
     nodes = rows.groupBy("node").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("keys").alias("keys"))
-    keyed = scratch.written("keyed", nodes.select("node", "fp", "n", F.explode("keys").alias("key")))
+    keyed = nodes.select("node", "fp", "n", F.explode("keys").alias("key"))
     groups = keyed.groupBy("key").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles")).filter("rows > 1")
     blocks = F.greatest(F.ceil(F.col("rows") / F.lit(LARGE)), F.ceil(F.col("shingles") / F.lit(LARGE_SHINGLES)))
-    members = scratch.written("members", keyed.join(groups.hint("merge"), "key").select("key", "node", "fp", "rows", F.least(blocks, F.col("rows")).alias("blocks")))
+    members = scratch.written("members", dealt(keyed.join(groups.hint("merge"), "key").select("key", "node", "fp", "rows", F.least(blocks, F.col("rows")).alias("blocks"))))
+    large = members.filter("blocks > 1")
+    any_large = not large.isEmpty()
     once = shingle_sets(docs, text_col, shingle).groupBy("node").agg(F.first("shingles").alias("shingles"))  # copies give way before they are shuffled
-    sets = scratch.written("sets", once.join(members.select("node").distinct().hint("merge"), "node", "left_semi"))
+    sets = once.join(members.select("node").distinct().hint("merge"), "node", "left_semi")
+    sets = scratch.written("sets", sets) if any_large else sets
     own, all_of = F.array(F.pmod(F.xxhash64("node"), "blocks")), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
-    dealt = members.withColumn("block", F.explode(F.when((F.col("blocks") > 1) & (F.pmod(F.xxhash64("node", "key"), "rows") < ANCHORS), all_of).otherwise(own)))
-    dealt = dealt.withColumns({"apart": F.lit(False), "root": F.col("node")})
-    links = scratch.written("links", group_links(dealt.join(sets.hint("merge"), "node"), alike))
+    met = members.withColumn("block", F.explode(F.when((F.col("blocks") > 1) & (F.pmod(F.xxhash64("node", "key"), "rows") < ANCHORS), all_of).otherwise(own)))
+    met = met.withColumns({"apart": F.lit(False), "root": F.col("node")})
+    links = scratch.written("links", dealt(group_links(met.join(sets.hint("merge"), "node"), alike)))
     roots = connected_components(links)
-    large = members.filter("blocks > 1")
-    if not large.isEmpty():
-        named = scratch.written("large", large.join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node")))
+    if any_large:
+        named = scratch.written("large", dealt(large.join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))))
         main = named.groupBy("key", "root").agg(F.count("*").alias("times")).groupBy("key").agg(F.max_by("root", F.struct("times", "root")).alias("main"))
         apart = named.join(main.hint("merge"), "key").withColumn("apart", F.col("root") != F.col("main"))
         once = apart.withColumn("block", own[0]).withColumn("apart", F.lit(False)).drop("main")
         again = apart.filter("apart").withColumn("block", F.explode(all_of)).drop("main")
         more = group_links(once.unionByName(again).join(sets.hint("merge"), "node"), alike)
-        roots = connected_components(scratch.written("more", links.union(more)))
-    for name in ("keyed", "members", "sets"):
+        roots = connected_components(scratch.written("more", dealt(links.union(more))))
+    for name in ("members", "sets"):
         scratch.drop(name)
     return rows.select("doc_id", "h", "node").join(roots.hint("merge"), "node", "left").select("doc_id", "h", F.coalesce("root", "node").alias("root"))
 

@@ -154,7 +154,7 @@ def test_near_copies_leave_few_files(spark):
     try:
         for k, v in held.items():
             spark.conf.set(k, v)
-        for step in (simhash.near_duplicates,):
+        for step in (simhash.near_duplicates, nearcopies.near_copies):
             before = there()
             assert len(collected(step(df.repartition(2)))) == len(texts)
             assert 0 < len(there() - before) <= 4 * spark.sparkContext.defaultParallelism
