@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from evigraph.llm.common import Scratch
 
-#: Up to so many rows of edges, repeats included, are joined on the driver (8 MB), which writes no tables; more of them go by rounds.
-FEW = 1 << 19
+#: Up to so many rows of edges, repeats included, are joined on the driver (4 MB), which writes no tables; more of them go by rounds.
+FEW = 1 << 18
 
 
 def joined(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

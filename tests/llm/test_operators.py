@@ -130,7 +130,7 @@ def test_components_by_rounds_and_on_the_driver(spark, monkeypatch):
     edges = [*zip(names, names[1:150]), *((-int(a), -int(b)) for a, b in rng.integers(1, 900, (400, 2))), (5000, 5000), *((7000 - i, 7000) for i in range(200)), (2**63 - 1, -(2**63))]
     wanted = components_of({x for e in edges for x in e}, edges)
     df = spark.createDataFrame([*edges, *edges[:50], (None, 3), (4, None), (None, None)], "a long, b long")
-    for few in (1 << 19, 0):
+    for few in (1 << 18, 0):
         monkeypatch.setattr(components, "FEW", few)
         found = collected(components.connected_components(df))
         assert len(found) == len(wanted) and {r["node"]: r["root"] for r in found} == wanted
