@@ -40,7 +40,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def dealt(df: DataFrame) -> DataFrame:
-    """The rows dealt evenly over as many partitions as there are cores: for narrow rows that are written next.
+    """The rows dealt evenly over as many partitions as there are cores: for narrow rows that are written next, or returned.
 
     A file for each partition of a shuffle would be many small ones; on a local folder Hadoop also starts three processes (chmod) for each."""
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism)

@@ -258,4 +258,4 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+    return dealt(near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id"))

@@ -163,6 +163,10 @@ def test_near_copies_leave_few_files(spark):
             spark.conf.set(k, v)
 
 
+def test_simhash_rows_come_in_few_partitions(spark, sf_dir):
+    assert simhash.query(spark, sf_dir).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
 def test_keep_one(spark, awkward, docs, empty):
     kept = collected(simhash.keep_one(awkward.filter("text is null or length(text) < 50000")))
     ids = [r["doc_id"] for r in kept if r["doc_id"] is not None]
