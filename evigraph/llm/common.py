@@ -9,12 +9,13 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evigraph.sources.tables import table
 
-__all__ = ["WORD", "Scratch", "binary", "cut", "dealt", "record_batch", "row_hash", "shared_dir", "slices", "strings", "table", "unused"]
+__all__ = ["WORD", "Scratch", "binary", "cut", "dealt", "kept", "record_batch", "row_hash", "shared_dir", "slices", "strings", "table", "unused"]
 
 #: A word is a run of characters other than space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -46,6 +47,11 @@ def dealt(df: DataFrame) -> DataFrame:
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """The rows, kept on the executors' disks from the first job that reads them until unpersist(): for tables that no result depends on. No file is written for them, and what an executor loses is computed again."""
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
 class Scratch:
     """A folder below the shared one for tables between jobs. What isn't dropped before goes when the application ends."""
 

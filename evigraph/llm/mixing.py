@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from evigraph.llm.common import WORD, cut, table
+from evigraph.llm.common import WORD, cut, dealt, table
 
 WEIGHTS = (5, 2, 1)
 PERCENT = 150
@@ -61,7 +61,7 @@ def draw(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size")
     ).withColumns({"class": size_class(F.col("size")), "digits": F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 2)})
-    rows = cut(rows)  # a few numbers a row, so that the texts are read once
+    rows = cut(dealt(rows))  # a few numbers a row, so that the texts are read once
     block = ["source", "class", "digits"]
     counts = rows.groupBy(*block).agg(F.count("*").alias("n"), F.sum("size").alias("words"))
     sizes = counts.groupBy("source").agg(F.sum("words").alias("source_size"))

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evigraph.llm.common import Scratch, binary, dealt, record_batch, slices
+from evigraph.llm.common import Scratch, binary, dealt, kept, record_batch, slices
 from evigraph.llm.components import connected_components
 from evigraph.llm.simhash import SEED, majority, one_of_each, ring_ok, shingle_hashes
 
@@ -170,12 +170,12 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     against the whole group once more, so that no link between components is missed. Texts without a word are alike. Null texts
     count as empty, rows with null or repeated ids have a row each, no rows give no rows, other columns are ignored."""
     scratch = Scratch(docs.sparkSession, "nearcopies")
-    rows = scratch.written("rows", signatures(docs, id_col, text_col, shingle))
+    rows = scratch.written("rows", dealt(signatures(docs, id_col, text_col, shingle)))
     nodes = rows.groupBy("node").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("keys").alias("keys"))
     keyed = nodes.select("node", "fp", "n", F.explode("keys").alias("key"))
     groups = keyed.groupBy("key").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles")).filter("rows > 1")
     blocks = F.greatest(F.ceil(F.col("rows") / F.lit(LARGE)), F.ceil(F.col("shingles") / F.lit(LARGE_SHINGLES)))
-    members = scratch.written("members", dealt(keyed.join(groups.hint("merge"), "key").select("key", "node", "fp", "rows", F.least(blocks, F.col("rows")).alias("blocks"))))
+    members = kept(keyed.join(groups.hint("merge"), "key").select("key", "node", "fp", "rows", F.least(blocks, F.col("rows")).alias("blocks")))
     large = members.filter("blocks > 1")
     any_large = not large.isEmpty()
     once = shingle_sets(docs, text_col, shingle).groupBy("node").agg(F.first("shingles").alias("shingles"))  # copies give way before they are shuffled
@@ -194,8 +194,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         again = apart.filter("apart").withColumn("block", F.explode(all_of)).drop("main")
         more = group_links(once.unionByName(again).join(sets.hint("merge"), "node"), alike)
         roots = connected_components(scratch.written("more", dealt(links.union(more))))
-    for name in ("members", "sets"):
-        scratch.drop(name)
+    members.unpersist()
+    scratch.drop("sets")
     return rows.select("doc_id", "h", "node").join(roots.hint("merge"), "node", "left").select("doc_id", "h", F.coalesce("root", "node").alias("root"))
 
 

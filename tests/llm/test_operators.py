@@ -163,6 +163,33 @@ def test_near_copies_leave_few_files(spark):
             spark.conf.set(k, v)
 
 
+def test_near_copies_and_mixing_write_few_files(spark, monkeypatch):
+    """Tables between jobs have files by cores, whatever the partitions of the input, and the members of groups none; nothing stays kept by the executors."""
+    from pathlib import Path
+
+    from evigraph.llm.common import shared_dir
+
+    rng = np.random.default_rng(19)
+    texts = []
+    for _ in range(60):
+        base = [f"w{x}" for x in rng.integers(0, 5000, 100)]
+        texts += [" ".join(base), " ".join([*base, "one"]), " ".join([*base, "two", "more"])]
+    df = spark.createDataFrame([(k, x, "ab"[k % 2]) for k, x in enumerate(texts)], "doc_id long, text string, source string").repartition(16)
+    there = lambda: set(Path(shared_dir(spark).removeprefix("file:")).rglob("part-*"))
+    persisted = spark.sparkContext._jsc.getPersistentRDDs().size
+    held, found = persisted(), []
+    for large, tables in ((nearcopies.LARGE, 2), (2, 5)):
+        monkeypatch.setattr(nearcopies, "LARGE", large)
+        before = there()
+        rows = collected(nearcopies.near_copies(df))
+        assert 0 < len(there() - before) <= tables * spark.sparkContext.defaultParallelism and persisted() == held
+        found.append({frozenset(r["doc_id"] for r in rows if r["root"] == root) for root in {r["root"] for r in rows}})
+    assert found[0] == found[1] == {frozenset((k, k + 1, k + 2)) for k in range(0, len(texts), 3)}
+    before = there()
+    assert len(collected(mixing.draw(df))) == len(texts)
+    assert 0 < len(there() - before) <= spark.sparkContext.defaultParallelism
+
+
 def test_simhash_rows_come_in_few_partitions(spark, sf_dir):
     assert simhash.query(spark, sf_dir).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
 
